@@ -120,7 +120,7 @@ def _admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run = novel.merged()
     slots = (run["a"] >> np.uint64(64 - PREFIX_BITS)).astype("i4")
     edges = np.flatnonzero(np.diff(slots)) + 1
-    out = [(int(slots[i]), run[i : i + CHUNK].tobytes()) for s, e in zip([0, *edges], [*edges, len(run)]) for i in range(s, e, CHUNK) if e > s]
+    out = [(int(slots[i]), run[i : min(i + CHUNK, e)].tobytes()) for s, e in zip([0, *edges], [*edges, len(run)]) for i in range(s, e, CHUNK) if e > s]
     for i in range(0, len(out), 256):
         part = out[i : i + 256]
         n = len(part)
