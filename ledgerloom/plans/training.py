@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import changefeed, nested, onceonly
+from ledgerloom.operators import changefeed, hierarchy, nested, onceonly, orphans, schemadrift, snapshotdiff
 from ledgerloom.session import table
 
 
@@ -18,3 +19,31 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return onceonly.surplus_deliveries(table(spark, d, "event_envelopes"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return schemadrift.file_changes(table(spark, d, "archive_files"))
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "archive_files")
+    return schemadrift.unified(files, schemadrift.file_changes(files))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = snapshotdiff.lint_rows(table(spark, d, "lint_entries")).unionByName(snapshotdiff.metric_rows(table(spark, d, "advisory_metrics")))
+    return snapshotdiff.snapshot_changes(rows)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    refs = orphans.collect_references(table(spark, d, "impact_links"), table(spark, d, "doc_frontmatter"))
+    return orphans.orphan_references(refs, table(spark, d, "impact_nodes"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchies(hierarchy.all_edges(table(spark, d, "impact_links"), table(spark, d, "doc_frontmatter")))
+
+
+def p7_paths(spark: SparkSession, d: str) -> DataFrame:
+    full = hierarchy.hierarchies(hierarchy.all_edges(table(spark, d, "impact_links"), table(spark, d, "doc_frontmatter")), paths=True)
+    return full.select("hierarchy", "node_name", F.array_join("path", " > ").alias("path"))
