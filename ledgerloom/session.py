@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors, which need not have it installed; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="ledgerloom-code-")  # read by the driver only, which serves it
+        archive = os.path.join(folder, "ledgerloom_code.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for at, _, names in os.walk(here):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(here)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
 
 
 def shared_root(spark: SparkSession) -> str:
