@@ -68,7 +68,7 @@ def typed_part(c: str | Column, kind: str) -> Column:
 
 def paramset(c: str | Column) -> Column:
     """Tidied, non-empty, distinct, sorted strings."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(col(c), F.trim), lambda x: x.isNotNull() & (x != ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(col(c), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:

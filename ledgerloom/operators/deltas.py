@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 def count_delta(baseline: DataFrame, current: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
     """keys, baseline, current, delta over the union of keys, missing counts 0. One shuffle: both sides are added up."""
-    a = baseline.select(*keys, F.col(count).alias("b"), F.lit(0).cast("bigint").alias("c"))
-    b = current.select(*keys, F.lit(0).cast("bigint").alias("b"), F.col(count).alias("c"))
-    g = a.unionByName(b).groupBy(*keys).agg(F.sum(F.coalesce("b", F.lit(0))).alias("baseline"), F.sum(F.coalesce("c", F.lit(0))).alias("current"))
+    a = baseline.select(*keys, F.col(count).alias("_b"), F.lit(0).cast("bigint").alias("_c"))
+    b = current.select(*keys, F.lit(0).cast("bigint").alias("_b"), F.col(count).alias("_c"))
+    g = a.unionByName(b).groupBy(*keys).agg(F.sum(F.coalesce("_b", F.lit(0))).alias("baseline"), F.sum(F.coalesce("_c", F.lit(0))).alias("current"))
     return g.withColumn("delta", F.col("current") - F.col("baseline"))
 
 
 def entity_delta(baseline: DataFrame, current: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys, change_kind (added, removed, changed) of entities; values are compared with nulls equal."""
-    side = lambda df, n: df.select(*keys, F.xxhash64(*(x for v in values for x in (F.col(v).isNull(), F.col(v)))).alias("h"), F.lit(n).alias("side"))
-    g = side(baseline, 1).unionByName(side(current, 2)).groupBy(*keys).agg(F.bit_or("side").alias("sides"), F.max(F.when(F.col("side") == 1, F.col("h"))).alias("a"), F.max(F.when(F.col("side") == 2, F.col("h"))).alias("b"))
-    kind = F.when(F.col("sides") == 2, "added").when(F.col("sides") == 1, "removed").when(F.col("a") != F.col("b"), "changed")
+    side = lambda df, n: df.select(*keys, F.xxhash64(*(x for v in values for x in (F.col(v).isNull(), F.col(v)))).alias("_h"), F.lit(n).alias("_side"))
+    g = side(baseline, 1).unionByName(side(current, 2)).groupBy(*keys).agg(F.bit_or("_side").alias("_sides"), F.max(F.when(F.col("_side") == 1, F.col("_h"))).alias("_x"), F.max(F.when(F.col("_side") == 2, F.col("_h"))).alias("_y"))
+    kind = F.when(F.col("_sides") == 2, "added").when(F.col("_sides") == 1, "removed").when(F.col("_x") != F.col("_y"), "changed")
     return g.select(*keys, kind.alias("change_kind")).where("change_kind is not null")
 
 

@@ -86,7 +86,7 @@ def decision_lines(df: DataFrame, text: str) -> DataFrame:
     """path, qual, mode, params, meta of `file:qual decision surface params: a, b (meta)` texts."""
     p = r"^(\S+?\.py):(\S+) (decision surface|value-encoded decision) params: ([^(]*?)\s*(?:\((.*)\))?$"
     x = lambda i: F.regexp_extract(F.col(text), p, i)
-    return df.where(F.regexp_like(F.col(text), F.lit(p))).select(x(1).alias("path"), x(2).alias("qual"), x(3).alias("mode"), F.filter(F.transform(F.split(x(4), ","), F.trim), lambda v: v != "").alias("params"), x(5).alias("meta"))
+    return df.where(F.regexp_like(F.col(text), F.lit(p))).select(x(1).alias("path"), x(2).alias("qual"), x(3).alias("mode"), F.filter(F.transform(F.split(x(4), ","), lambda v: F.trim(v)), lambda v: v != "").alias("params"), x(5).alias("meta"))
 
 
 def perf_samples(df: DataFrame) -> DataFrame:
