@@ -119,51 +119,46 @@ def refine(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, level: the longest chain of edges into the node; null for nodes on a cycle or below one."""
+    """node, level: the longest chain of edges into the node; null for nodes on a cycle or below one.
+
+    Every round takes the nodes without a remaining edge into them and lowers the counts of those they lead to.
+    """
     e = stored(edges.select("src", "dst").dropna().distinct(), "edges")
-    names = e.select(F.explode(F.array("src", "dst")).alias("node"))
-    left = stored((names.unionByName(nodes.select("node")) if nodes is not None else names).dropna().distinct(), "left")
-    done = None
+    names = e.select(F.col("src").alias("node"), F.lit(0).alias("k")).unionByName(e.select(F.col("dst").alias("node"), F.lit(1).alias("k")))
+    if nodes is not None:
+        names = names.unionByName(nodes.select("node", F.lit(0).alias("k")).dropna())
+    state = stored(names.groupBy("node").agg(F.sum("k").alias("k")), "state")
+    done = state.limit(0).select("node", F.lit(None).cast("bigint").alias("level"))
     for level in range(1 << 30):
-        ready = stored(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(level).cast("bigint").alias("level")), "ready")
+        ready = state.where("k = 0").select("node", F.lit(level).cast("bigint").alias("level"))
         if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        left = stored(left.join(ready.select("node"), "node", "left_anti"), "left")
-        e = stored(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "edges")
-    rest = left.select("node", F.lit(None).cast("bigint").alias("level"))
-    return rest if done is None else done.unionByName(rest)
+            return done.unionByName(state.select("node", F.lit(None).cast("bigint").alias("level")))
+        done = ready if level == 0 else done.unionByName(ready)
+        less = e.join(ready, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("less"))
+        state = stored(state.where("k > 0").join(less, "node", "left").select("node", (F.col("k") - F.coalesce("less", F.lit(0))).alias("k")), "state")
+    raise RuntimeError("peeling did not end")
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (its smallest node) of strongly connected components, by colouring.
 
-    Each round first trims nodes without an in- or out-edge, which are components alone; then the smallest name that
-    reaches each node becomes its colour, and the nodes that reach the colour's own node within it are one component.
+    Nodes that peel off from either end of the graph are components alone. In the core that is left, the smallest name
+    that reaches each node becomes its colour, and the nodes of a colour that reach the colour's own node are one
+    component; the others go on.
     """
-    e = stored(edges.select("src", "dst").dropna().distinct(), "edges")
-    names = e.select(F.explode(F.array("src", "dst")).alias("node"))
-    every = (names.unionByName(nodes.select("node")) if nodes is not None else names).dropna().distinct()
-    left, done = stored(every, "left"), None
-    e = stored(e.where("src <> dst"), "edges")
-
-    def settle(found: DataFrame) -> None:
-        nonlocal left, e, done
-        found = stored(found, "found")
-        done = found if done is None else done.unionByName(found)
-        gone = found.select("node")
-        left = stored(left.join(gone, "node", "left_anti"), "left")
-        e = stored(e.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"), "edges")
-
+    e = edges.select("src", "dst").dropna().distinct()
+    down = stored(levels(e, nodes), "down")
+    core = down.where("level is null").select("node")
+    within = lambda e, keep: e.join(keep.toDF("src"), "src").join(keep.toDF("dst"), "dst").select("src", "dst")
+    e = stored(within(e, core), "core")
+    up = stored(levels(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "up")
+    left = stored(up.where("level is null").select("node"), "left")
+    alone = down.where("level is not null").select("node").unionByName(up.where("level is not null").select("node"))
+    done = alone.select("node", F.col("node").alias("component"))
     for _ in range(1 << 20):
-        while True:
-            inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
-            alone = stored(left.join(inner, "node", "left_anti"), "alone")
-            if alone.isEmpty():
-                break
-            settle(alone.select("node", F.col("node").alias("component")))
         if left.isEmpty():
-            return done if done is not None else every.select("node", F.col("node").alias("component"))
+            return done
+        e = stored(within(e, left), "core")
         color = stored(left.select("node", F.col("node").alias("color")), "color")
         while True:
             got = e.join(color.toDF("src", "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
@@ -171,10 +166,11 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
             color = new.select("node", "color")
             if new.where("moved").isEmpty():
                 break
-        within = stored(e.join(color.toDF("src", "a"), "src").join(color.toDF("dst", "b"), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "within")
-        roots = color.where("node = color").select("node")
-        back = reach(within, roots, 1 << 30)
-        settle(back.select("node").join(color, "node").select("node", F.col("color").alias("component")))
+        same = e.join(color.toDF("src", "a"), "src").join(color.toDF("dst", "b"), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = reach(same, color.where("node = color").select("node"), 1 << 30)
+        found = stored(back.select("node").join(color, "node").select("node", F.col("color").alias("component")), "found")
+        done = done.unionByName(found)
+        left = stored(left.join(found.select("node"), "node", "left_anti"), "left")
     raise RuntimeError("colouring did not end")
 
 

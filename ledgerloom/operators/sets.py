@@ -25,28 +25,49 @@ def signatures(members: DataFrame) -> DataFrame:
     return g.select("owner", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("set_id"), "n")
 
 
-def set_classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(owner, set_id, n), and (set_id, element, n, rank) with elements ranked from rare to frequent within each set."""
+def set_classes(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Owners (owner, set_id, n); elements (set_id, element, n, rank) ranked from rare to frequent within each set;
+    classes (set_id, n, mask); and whether the masks are exact.
+
+    A mask has a bit per element, elements numbered by frequency share bits beyond 64 of them; then a mask only rules
+    pairs out and the survivors are compared element by element.
+    """
     owners = stored(signatures(members), "owners")
     one = owners.groupBy("set_id", "n").agg(F.min("owner").alias("owner"))
-    elements = members.select("owner", "element").dropna().distinct().join(one, "owner").select("set_id", "element", "n")
-    rare = elements.groupBy("element").agg(F.count("*").alias("sets"))
-    ranked = elements.join(rare, "element").withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("sets", "element")))
-    return owners, stored(ranked.select("set_id", "element", "n", "rank"), "elements")
+    elements = stored(members.select("owner", "element").dropna().distinct().join(one, "owner").select("set_id", "element", "n"), "members")
+    rare = stored(elements.groupBy("element").agg(F.count("*").alias("sets")), "rare")
+    exact = rare.count() <= 64
+    bit = F.dense_rank().over(Window.orderBy(F.desc("sets"), "element")) - 1 if exact else F.pmod(F.xxhash64("element"), F.lit(64))
+    ranked = elements.join(rare.withColumn("bit", bit.cast("int")), "element").withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("sets", "element")))
+    elements = stored(ranked.select("set_id", "element", "n", "rank", "bit"), "elements")
+    classes = elements.groupBy("set_id", "n").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    return owners, elements, stored(classes, "classes"), exact
 
 
-def containing(elements: DataFrame) -> DataFrame:
-    """a, b, nb: classes b that properly contain class a; candidates share a's rarest element."""
-    rarest = elements.where("rank = 1").select(F.col("set_id").alias("a"), "element", F.col("n").alias("na"))
-    cand = rarest.join(elements.select(F.col("set_id").alias("b"), "element", F.col("n").alias("nb")), "element").where("nb > na").select("a", "b", "na", "nb")
+def _side(df: DataFrame, classes: DataFrame, as_: str) -> DataFrame:
+    """element, and set id, size and mask of its class under the names as_, n + as_, m + as_."""
+    return df.select("set_id", "element").join(classes, "set_id").select("element", F.col("set_id").alias(as_), F.col("n").alias(f"n{as_}"), F.col("mask").alias(f"m{as_}"))
+
+
+def _common(cand: DataFrame, elements: DataFrame, exact: bool) -> DataFrame:
+    """cand (a, b, na, nb, ma, mb) with k, the number of common elements."""
+    if exact:
+        return cand.withColumn("k", F.bit_count(F.col("ma").bitwiseAND(F.col("mb"))).cast("bigint"))
     shared = cand.join(elements.select(F.col("set_id").alias("a"), "element"), "a").join(elements.select(F.col("set_id").alias("b"), "element"), ["b", "element"])
-    return shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).where("k = na").select("a", "b", "nb")
+    return shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+
+
+def containing(elements: DataFrame, classes: DataFrame, exact: bool) -> DataFrame:
+    """a, b, nb: classes b that properly contain class a; candidates share a's rarest element."""
+    x, y = _side(elements.where("rank = 1"), classes, "a"), _side(elements, classes, "b")
+    cand = x.join(y, "element").where("nb > na and (ma & ~mb) = 0").drop("element")
+    return _common(cand, elements, exact).where("k = na").select("a", "b", "nb")
 
 
 def dominators(members: DataFrame) -> DataFrame:
     """owner, set_id, dominator (set_id): the smallest classes that properly contain an owner's set."""
-    owners, elements = set_classes(members)
-    sup = containing(elements)
+    owners, elements, classes, exact = set_classes(members)
+    sup = containing(elements, classes, exact)
     least = sup.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy("nb"))).where("r = 1")
     return owners.join(least.select(F.col("a").alias("set_id"), F.col("b").alias("dominator")), "set_id").select("owner", "set_id", "dominator")
 
@@ -56,15 +77,14 @@ def likeness_join(members: DataFrame, least: float) -> DataFrame:
 
     Prefix filtering: sets that alike share one of the first n - ceil(least * n) + 1 elements by rarity.
     """
-    owners, elements = set_classes(members)
+    owners, elements, classes, exact = set_classes(members)
     stands = owners.groupBy("set_id").agg(F.min("owner").alias("owner"))
     prefix = elements.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    x = prefix.select(F.col("set_id").alias("a"), "element", F.col("n").alias("na"))
-    y = prefix.select(F.col("set_id").alias("b"), "element", F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    cand = x.join(y, "element").where(fits).select("a", "b", "na", "nb").distinct()
-    shared = cand.join(elements.select(F.col("set_id").alias("a"), "element"), "a").join(elements.select(F.col("set_id").alias("b"), "element"), ["b", "element"])
-    j = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("jaccard") >= least - 1e-12)
+    x, y = _side(prefix, classes, "a"), _side(prefix, classes, "b")
+    #: No more elements in common than either set has under the other's bits.
+    most = F.least(F.expr("na - bit_count(ma & ~mb)"), F.expr("nb - bit_count(mb & ~ma)"))
+    cand = x.join(y, "element").where((F.col("a") < F.col("b")) & (most >= least * (F.col("na") + F.col("nb") - most) - 1e-9)).drop("element").distinct()
+    j = _common(cand, elements, exact).withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("jaccard") >= least - 1e-12)
     named = j.join(stands.toDF("a", "oa"), "a").join(stands.toDF("b", "ob"), "b")
     return named.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "jaccard")
 
@@ -97,8 +117,8 @@ def obsolescence(members: DataFrame, everyone: DataFrame, risky: DataFrame | Non
 
     A dominated owner that is the last to hold a risky element stays active; of equal sets the smallest owner stays.
     """
-    owners, elements = set_classes(members)
-    dominated = containing(elements).select(F.col("a").alias("set_id")).distinct().withColumn("dominated", F.lit(True))
+    owners, elements, classes, exact = set_classes(members)
+    dominated = containing(elements, classes, exact).select(F.col("a").alias("set_id")).distinct().withColumn("dominated", F.lit(True))
     first = owners.groupBy("set_id").agg(F.min("owner").alias("stays"))
     guard = (held_once(members).join(risky.select("element").distinct(), "element") if risky is not None else held_once(members).limit(0)).select("owner").distinct().withColumn("guarded", F.lit(True))
     all_ = everyone.select("owner").dropna().distinct().join(owners, "owner", "left").join(dominated, "set_id", "left").join(first, "set_id", "left").join(guard, "owner", "left")
