@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import stored
+from ledgerloom.session import stored, stored_with
 
 MAX_ROUNDS = 200
 
@@ -42,8 +42,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     front, e = seen, stored(edges.select("src", "dst").dropna().distinct(), "edges")
     for d in range(1, max_depth + 1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = stored(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth")), "front")
-        if front.isEmpty():
+        front, n = stored_with(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth")), "front", n=F.count(F.lit(1)))
+        if not n["n"]:
             break
         seen = seen.unionByName(front)
     return seen
@@ -58,8 +58,9 @@ def strongest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataF
     front, e = best, stored(edges.groupBy("src", "dst").agg(F.max("confidence").alias("c")), "edges")
     for _ in range(max_depth):
         step = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max(F.least("confidence", "c")).alias("confidence"))
-        front = stored(step.alias("s").join(best.alias("b"), "node", "left").where("b.confidence is null or s.confidence > b.confidence").select("node", "s.confidence"), "front")
-        if front.isEmpty():
+        better = step.alias("s").join(best.alias("b"), "node", "left").where("b.confidence is null or s.confidence > b.confidence").select("node", "s.confidence")
+        front, n = stored_with(better, "front", n=F.count(F.lit(1)))
+        if not n["n"]:
             break
         best = stored(best.unionByName(front).groupBy("node").agg(F.max("confidence").alias("confidence")), "best")
     return best
@@ -84,8 +85,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        e, now = stored_with(links, "small", n=F.count(F.lit(1)), h=F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
         if now == state:
             break
         state = now
@@ -127,15 +128,16 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     names = e.select(F.col("src").alias("node"), F.lit(0).alias("k")).unionByName(e.select(F.col("dst").alias("node"), F.lit(1).alias("k")))
     if nodes is not None:
         names = names.unionByName(nodes.select("node", F.lit(0).alias("k")).dropna())
-    state = stored(names.groupBy("node").agg(F.sum("k").alias("k")), "state")
+    free = {"free": F.count(F.when(F.col("k") == 0, 1))}
+    state, n = stored_with(names.groupBy("node").agg(F.sum("k").alias("k")), "state", **free)
     done = state.limit(0).select("node", F.lit(None).cast("bigint").alias("level"))
     for level in range(1 << 30):
         ready = state.where("k = 0").select("node", F.lit(level).cast("bigint").alias("level"))
-        if ready.isEmpty():
+        if not n["free"]:
             return done.unionByName(state.select("node", F.lit(None).cast("bigint").alias("level")))
         done = ready if level == 0 else done.unionByName(ready)
         less = e.join(ready, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("less"))
-        state = stored(state.where("k > 0").join(less, "node", "left").select("node", (F.col("k") - F.coalesce("less", F.lit(0))).alias("k")), "state")
+        state, n = stored_with(state.where("k > 0").join(less, "node", "left").select("node", (F.col("k") - F.coalesce("less", F.lit(0))).alias("k")), "state", **free)
     raise RuntimeError("peeling did not end")
 
 
@@ -152,25 +154,26 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     within = lambda e, keep: e.join(keep.toDF("src"), "src").join(keep.toDF("dst"), "dst").select("src", "dst")
     e = stored(within(e, core), "core")
     up = stored(levels(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "up")
-    left = stored(up.where("level is null").select("node"), "left")
+    left, n = stored_with(up.where("level is null").select("node"), "left", n=F.count(F.lit(1)))
     alone = down.where("level is not null").select("node").unionByName(up.where("level is not null").select("node"))
     done = alone.select("node", F.col("node").alias("component"))
     for _ in range(1 << 20):
-        if left.isEmpty():
+        if not n["n"]:
             return done
         e = stored(within(e, left), "core")
         color = stored(left.select("node", F.col("node").alias("color")), "color")
         while True:
             got = e.join(color.toDF("src", "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
-            new = stored(color.join(got, "node", "left").select("node", F.least("color", "c").alias("color"), (F.col("c") < F.col("color")).alias("moved")), "color")
+            moved = color.join(got, "node", "left").select("node", F.least("color", "c").alias("color"), (F.col("c") < F.col("color")).alias("moved"))
+            new, moves = stored_with(moved, "color", moved=F.count(F.when(F.col("moved"), 1)))
             color = new.select("node", "color")
-            if new.where("moved").isEmpty():
+            if not moves["moved"]:
                 break
         same = e.join(color.toDF("src", "a"), "src").join(color.toDF("dst", "b"), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         back = reach(same, color.where("node = color").select("node"), 1 << 30)
         found = stored(back.select("node").join(color, "node").select("node", F.col("color").alias("component")), "found")
         done = done.unionByName(found)
-        left = stored(left.join(found.select("node"), "node", "left_anti"), "left")
+        left, n = stored_with(left.join(found.select("node"), "node", "left_anti"), "left", n=F.count(F.lit(1)))
     raise RuntimeError("colouring did not end")
 
 

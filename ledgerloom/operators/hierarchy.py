@@ -15,32 +15,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import reference, tidy
-from ledgerloom.session import stored
+from ledgerloom.session import stored, stored_with
 
 #: Far beyond what any input needs; the rounds grow as the logarithm of the number of nodes.
 MAX_ROUNDS = 400
 _RESOLVED = ["h", "id", "cls", "root", "depth", "total"]
 
 
-def _contract(live: DataFrame, paths: bool) -> list[DataFrame]:
+def _contract(live: DataFrame, paths: bool) -> list[tuple[DataFrame, dict]]:
+    """Each round's table and how many of its nodes are leaves, spliced, and still linked to another.
+
+    live: h, id, parent, w (links to the parent), own (nodes raked into it, itself included), extra
+    and low (number and smallest name of the nodes spliced out of its link), seg (their names) if paths.
+    """
     rounds = []
     for r in range(MAX_ROUNDS):
         kids = live.where("parent is not null").groupBy("h", F.col("parent").alias("id")).agg(F.count("*").alias("n"))
         a = live.join(kids, ["h", "id"], "left").withColumn("leaf", F.col("n").isNull() & F.col("parent").isNotNull()).drop("n")
         under = a.where("parent is not null").groupBy("h", F.col("parent").alias("id")).agg(
             F.sum(F.when(F.col("leaf"), F.col("own") + F.col("extra"))).alias("gain"),
-            F.count(F.when(~F.col("leaf"), 1)).alias("inner"),
+            F.count(F.when(~F.col("leaf"), 1)).alias("kids"),
             F.min(F.when(~F.col("leaf"), F.col("id"))).alias("child"),
             F.sum(F.when(~F.col("leaf"), F.col("extra"))).alias("child_extra"),
         )
         rank = lambda c: F.xxhash64(F.lit(r), F.col("h"), F.col(c))  # noqa: B023, E731
-        chain = (F.col("inner") == 1) & (F.col("parent") != F.col("id")) & (rank("id") > rank("parent")) & (rank("id") > rank("child"))
+        chain = (F.col("kids") == 1) & (F.col("parent") != F.col("id")) & (rank("id") > rank("parent")) & (rank("id") > rank("child"))
         b = a.join(under, ["h", "id"], "left").withColumn("own", F.col("own") + F.coalesce("gain", F.lit(0)))
-        b = stored(b.withColumn("spliced", F.coalesce(chain, F.lit(False)) & ~F.col("leaf")).drop("gain", "inner"), f"round{r}")
-        rounds.append(b)
-        stay = b.where("not leaf and not spliced")
-        if stay.where("parent is not null and parent <> id").isEmpty():
+        b = b.withColumn("spliced", F.coalesce(chain, F.lit(False)) & ~F.col("leaf")).drop("gain", "kids")
+        yes = lambda c: F.count(F.when(c, 1))
+        b, n = stored_with(b, f"round{r}", leaf=yes(F.col("leaf")), spliced=yes(F.col("spliced")), linked=yes(~F.col("leaf") & ~F.col("spliced") & (F.col("parent") != F.col("id"))))
+        rounds.append((b, n))
+        if not n["linked"]:
             return rounds
+        stay = b.where("not leaf and not spliced")
         over = b.where("spliced").select("h", F.col("child").alias("id"), F.col("id").alias("via"), F.col("parent").alias("up"), F.col("w").alias("up_w"), (F.col("own") + F.col("extra")).alias("up_extra"), F.col("low").alias("up_low"), *([F.col("seg").alias("up_seg")] if paths else []))
         joined = stay.join(over, ["h", "id"], "left")
         hit = F.col("via").isNotNull()
@@ -71,12 +78,12 @@ def hierarchies(edges: DataFrame, nodes: DataFrame | None = None, paths: bool =
     looped = F.col("parent").isNotNull()
     alone = lambda: [F.array("id").alias("path")] if paths else []
     done = stored(
-        rounds[-1].where("not leaf and not spliced").select(
+        rounds[-1][0].where("not leaf and not spliced").select(
             "h", "id", F.when(looped, "cycle").otherwise("tree").alias("cls"), F.when(looped, F.least("id", "low")).otherwise(F.col("id")).alias("root"), F.lit(0).cast("bigint").alias("depth"), (F.col("own") + F.col("extra")).alias("total"), *alone()
         ),
         "resolved",
     )
-    for b in reversed(rounds):
+    for b, n in reversed(rounds):
         at = lambda df, key, mark, cols: df.select("h", F.col("id").alias(key), *(F.col(c).alias(mark + c) for c in cols))
         known = ["cls", "root", "depth", *(["path"] if paths else [])]
         full = lambda: [F.concat("p_path", "seg", F.array("id")).alias("path")] if paths else []  # noqa: B023, E731
@@ -87,10 +94,10 @@ def hierarchies(edges: DataFrame, nodes: DataFrame | None = None, paths: bool =
             "h", "id", F.when(on, "cycle").otherwise(off_cycle).alias("cls"), F.col("p_root").alias("root"), F.when(on, 0).otherwise(F.col("p_depth") + F.col("w")).cast("bigint").alias("depth"),
             F.when(on, F.col("c_total")).otherwise(F.col("own") + F.col("child_extra") + F.col("c_total")).alias("total"), *([F.when(on, F.array("id")).otherwise(full()[0]).alias("path")] if paths else []),
         )
-        above = done.unionByName(s)
+        above = done.unionByName(s) if n["spliced"] else done
         k = b.where("leaf").join(at(above, "parent", "p_", known), ["h", "parent"])
         k = k.select("h", "id", off_cycle.alias("cls"), F.col("p_root").alias("root"), (F.col("p_depth") + F.col("w")).alias("depth"), F.col("own").alias("total"), *full())
-        done = stored(above.unionByName(k), "resolved")
+        done = stored(above.unionByName(k), "resolved") if n["leaf"] else stored(above, "resolved") if n["spliced"] else done
     return done.select(F.col("h").alias("hierarchy"), F.col("id").alias("node_name"), F.col("cls").alias("node_class"), F.col("root").alias("root_node"), F.col("depth").alias("node_depth"), (F.col("total") - 1).alias("descendants"), *(["path"] if paths else []))
 
 

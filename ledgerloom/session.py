@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes as held in memory; beyond it the join shuffles.
@@ -99,6 +99,13 @@ def stored(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = (
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """stored(), and aggregates of the rows taken in the same pass instead of by a further job."""
+    seen = Observation()
+    observed = df.observe(seen, *(m.alias(k) for k, m in measures.items()))
+    return stored(observed, name), seen.get
+
+
 def publish(df: DataFrame, root: str, keep: int = 2) -> str:
     """Write df as a new version below root, then make it current by one rename; readers see all of it or none.
 
