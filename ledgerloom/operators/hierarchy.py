@@ -25,13 +25,12 @@ _RESOLVED = ["h", "id", "cls", "root", "depth", "total"]
 def _contract(live: DataFrame, paths: bool) -> list[tuple[DataFrame, dict]]:
     """Each round's table and how many of its nodes are leaves, spliced, and still linked to another.
 
-    live: h, id, parent, w (links to the parent), own (nodes raked into it, itself included), extra
+    live: h, id, parent, kids (children left), w (links to the parent), own (nodes raked into it, itself included), extra
     and low (number and smallest name of the nodes spliced out of its link), seg (their names) if paths.
     """
     rounds = []
     for r in range(MAX_ROUNDS):
-        kids = live.where("parent is not null").groupBy("h", F.col("parent").alias("id")).agg(F.count("*").alias("n"))
-        a = live.join(kids, ["h", "id"], "left").withColumn("leaf", F.col("n").isNull() & F.col("parent").isNotNull()).drop("n")
+        a = live.withColumn("leaf", (F.col("kids") == 0) & F.col("parent").isNotNull()).drop("kids")
         under = a.where("parent is not null").groupBy("h", F.col("parent").alias("id")).agg(
             F.sum(F.when(F.col("leaf"), F.col("own") + F.col("extra"))).alias("gain"),
             F.count(F.when(~F.col("leaf"), 1)).alias("kids"),
@@ -41,7 +40,7 @@ def _contract(live: DataFrame, paths: bool) -> list[tuple[DataFrame, dict]]:
         rank = lambda c: F.xxhash64(F.lit(r), F.col("h"), F.col(c))  # noqa: B023, E731
         chain = (F.col("kids") == 1) & (F.col("parent") != F.col("id")) & (rank("id") > rank("parent")) & (rank("id") > rank("child"))
         b = a.join(under, ["h", "id"], "left").withColumn("own", F.col("own") + F.coalesce("gain", F.lit(0)))
-        b = b.withColumn("spliced", F.coalesce(chain, F.lit(False)) & ~F.col("leaf")).drop("gain", "kids")
+        b = b.withColumn("spliced", F.coalesce(chain, F.lit(False)) & ~F.col("leaf")).drop("gain").withColumn("kids", F.coalesce("kids", F.lit(0)))
         yes = lambda c: F.count(F.when(c, 1))
         b, n = stored_with(b, f"round{r}", leaf=yes(F.col("leaf")), spliced=yes(F.col("spliced")), linked=yes(~F.col("leaf") & ~F.col("spliced") & (F.col("parent") != F.col("id"))))
         rounds.append((b, n))
@@ -52,7 +51,7 @@ def _contract(live: DataFrame, paths: bool) -> list[tuple[DataFrame, dict]]:
         joined = stay.join(over, ["h", "id"], "left")
         hit = F.col("via").isNotNull()
         live = joined.select(
-            "h", "id", F.coalesce("up", "parent").alias("parent"), (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), "own", (F.col("extra") + F.coalesce("up_extra", F.lit(0))).alias("extra"),
+            "h", "id", "kids", F.coalesce("up", "parent").alias("parent"), (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), "own", (F.col("extra") + F.coalesce("up_extra", F.lit(0))).alias("extra"),
             F.least("low", "via", "up_low").alias("low"), *([F.when(hit, F.concat("up_seg", F.array("via"), "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []),
         )
     raise RuntimeError("contraction did not end")
@@ -72,8 +71,9 @@ def hierarchies(edges: DataFrame, nodes: DataFrame | None = None, paths: bool =
         names = names.unionByName(nodes.select(F.col("hierarchy").alias("h"), F.col("name").alias("id")))
     up = e.dropna().select("h", F.col("child").alias("id"), "parent")
     start = names.select("h", "id", F.lit(None).cast("string").alias("parent")).unionByName(up).dropna(subset=["h", "id"])
-    start = start.groupBy("h", "id").agg(F.min("parent").alias("parent"))
-    live = start.select("h", "id", "parent", F.lit(1).cast("bigint").alias("w"), F.lit(1).cast("bigint").alias("own"), F.lit(0).cast("bigint").alias("extra"), F.lit(None).cast("string").alias("low"), *([F.array().cast("array<string>").alias("seg")] if paths else []))
+    start = stored(start.groupBy("h", "id").agg(F.min("parent").alias("parent")), "start")
+    kids = start.where("parent is not null").groupBy("h", F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
+    live = start.join(kids, ["h", "id"], "left").select("h", "id", "parent", F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(1).cast("bigint").alias("w"), F.lit(1).cast("bigint").alias("own"), F.lit(0).cast("bigint").alias("extra"), F.lit(None).cast("string").alias("low"), *([F.array().cast("array<string>").alias("seg")] if paths else []))
     rounds = _contract(stored(live, "live"), paths)
     looped = F.col("parent").isNotNull()
     alone = lambda: [F.array("id").alias("path")] if paths else []
