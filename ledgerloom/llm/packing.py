@@ -30,7 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Length classes of a container, the shortest class in patterns, the most texts of a pattern, and the classes that a
 #: pattern may leave empty.
 CLASSES, SHORTEST, MOST, SLACK = 64, 4, 4, 2
-#: Texts of a group in which leftovers are packed.
+#: Leftover texts and open containers of a group that is packed together.
 GROUP = 20_000
 _ITEM = "capacity int, doc_id bigint, piece_no int, start_token bigint, tokens int, cls int, part int, seq bigint"
 
@@ -222,9 +222,11 @@ def pack(documents: DataFrame, bins: DataFrame, tokenizer_dir: str = TOKENIZER_D
     whole = placed.where("cls = 0").withColumn("container_id", F.when(F.col("tokens") == 0, "none").otherwise(F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string"))))
     fitted = placed.where("container_id is not null")
     left = placed.where("container_id is null and cls > 0")
-    groups = {r.capacity: -(-r.n // GROUP) for r in left.groupBy("capacity").agg(F.count("*").alias("n")).collect()}
-    of = F.coalesce(*(F.when(F.col("capacity") == c, F.lit(n)) for c, n in groups.items()), F.lit(1)) if groups else F.lit(1)
     rooms = fitted.groupBy("capacity", "container_id").agg((F.first("capacity") - F.sum("tokens")).cast("int").alias("tokens")).where("tokens > 0")
+    rooms = stored(rooms, "rooms")
+    rows = left.select("capacity").unionByName(rooms.select("capacity")).groupBy("capacity").agg(F.count("*").alias("n")).collect()  # a row per capacity
+    groups = {r.capacity: -(-r.n // GROUP) for r in rows}
+    of = F.coalesce(*(F.when(F.col("capacity") == c, F.lit(n)) for c, n in groups.items()), F.lit(1)) if groups else F.lit(1)
     none = lambda t: F.lit(None).cast(t)
     grp = lambda *c: F.pmod(F.xxhash64(*c), of).cast("int")
     mixed = left.select("capacity", grp("doc_id", "piece_no").alias("grp"), "doc_id", "piece_no", "start_token", "tokens", none("string").alias("container_id")).unionByName(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import identifier
-from ledgerloom.session import join_measured, stored
+from ledgerloom.session import join_measured
 
 LEVELS = ("basic", "intermediate", "advanced")
 #: Labelled documents used for training at most, by the order of a hash of their ids.
@@ -134,8 +134,8 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModel:
     rows = got.groupBy("level", "word").agg(F.sum("n").alias("n")).collect()  # words of a bounded sample
     missing = set(range(len(LEVELS))) - {r.level for r in rows}
     if missing:
-        sample = documents.where(english("lang") & F.col("text").isNotNull()).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SEEDS)
-        seeds = sample.select(F.lit(None).cast("int").alias("level"), "text").mapInArrow(_counts, "level int, word string, n bigint")
+        ids = documents.where(english("lang") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SEEDS)
+        seeds = join_measured(text, ids, "doc_id").select(F.lit(None).cast("int").alias("level"), "text").mapInArrow(_counts, "level int, word string, n bigint")
         rows += seeds.where(F.col("level").isin(*missing)).groupBy("level", "word").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:
