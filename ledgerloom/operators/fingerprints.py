@@ -7,9 +7,11 @@ and difference.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.ordering import numbered
+
 
 def exponents(items: DataFrame) -> DataFrame:
     """owner, key, exponent from (owner, key) rows; null keys don't count."""
@@ -31,8 +33,8 @@ def contains(whole: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def registry(keys: DataFrame) -> DataFrame:
-    """key, bit: distinct keys numbered from 0 in their order; a registry holds names, so it is small by nature."""
-    return keys.select("key").dropna().distinct().withColumn("bit", F.row_number().over(Window.orderBy("key")) - 1)
+    """key, bit: distinct keys numbered from 0 in their order."""
+    return numbered(keys.select("key").dropna().distinct(), ["key"], "bit")
 
 
 def masks(items: DataFrame, bits: DataFrame) -> DataFrame:

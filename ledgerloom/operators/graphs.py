@@ -9,9 +9,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.ordering import numbered
 from ledgerloom.session import stored, stored_with
 
 MAX_ROUNDS = 200
@@ -29,8 +30,8 @@ def intern_alts(rows: DataFrame) -> DataFrame:
 
 
 def graph_signature(edges: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with dense numbers from 0 by (kind, name), and edges between numbers. For graphs of names, not of rows."""
-    nodes = kinds.select("kind", "name").distinct().withColumn("node_no", F.row_number().over(Window.orderBy("kind", "name")) - 1)
+    """Nodes with dense numbers from 0 by (kind, name), and edges between numbers."""
+    nodes = numbered(kinds.select("kind", "name").distinct(), ["kind", "name"], "node_no")
     n = nodes.select("name", "node_no")
     e = edges.join(n.toDF("src", "src_no"), "src").join(n.toDF("dst", "dst_no"), "dst").select("src_no", "dst_no").distinct()
     return nodes, e

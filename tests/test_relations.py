@@ -217,3 +217,12 @@ def test_scalars(spark):
     with pytest.raises(ValueError):
         scalars.canonical_multiset([("a", 0)])
     assert scalars.bundle_name(["user_id", "ctx"], {"user_id": 3, "ctx": 3}) == "UserIdBundle"
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    from ledgerloom.functions.ordering import numbered
+
+    df = spark.range(1000).selectExpr("concat('n', lpad(cast(pmod(xxhash64(id), 100000) as string), 6, '0'), '-', id) name", "1 x").repartition(7)
+    rows = numbered(df, ["name"], "no").orderBy("name").collect()
+    assert [r.no for r in rows] == list(range(1000))
+    assert numbered(df.limit(0), ["name"], "no").count() == 0
