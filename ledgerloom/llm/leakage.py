@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window.
 WINDOW = 4
-#: Share of an item's words that must stand in the document: the statement's 40 %, less the few words that may differ.
-SHARE, ALTERED = 0.40, 0.05
+#: Share of an item's words that must stand in the document; altered words are among those that needn't.
+SHARE = 0.40
 #: Share of an item's words under consistent windows from which it is aligned word by word.
 LEAST_COVER = 0.20
 #: Blocks of equal words shorter than this don't count: chance meetings of common words.
@@ -170,7 +170,7 @@ class LeakIndex:
         doc = np.searchsorted(starts, dpos, "right") - 1
         for d, i, dp, ip in _groups(doc, self.item[which], dpos, self.pos[which], self.lengths * LEAST_COVER / WINDOW):
             share = self._aligned(i, dp, ip, raw, starts[d], starts[d + 1] if d + 1 < len(starts) else len(raw))
-            if share >= SHARE - ALTERED:
+            if share >= SHARE:
                 out[d].append(Hit(int(self.ids[i]), "leaked", round(share, 4)))
         if reports:
             dpos, which = _expand(self.t, th[at], at)
