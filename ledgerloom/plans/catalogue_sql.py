@@ -97,6 +97,11 @@ ORACLES: dict[str, str] = {
     "scalar_durations": "SELECT event_id, floor(value)::BIGINT * 60000000000 + (event_id % 60) * 1000000000 AS ns FROM events",
     "scalar_canonical_json": "SELECT delivery_id, json_extract_string(j, '$.key') AS state_key FROM (SELECT delivery_id, try_cast(payload_json AS JSON) AS j FROM event_envelopes WHERE payload_json LIKE '{%') WHERE j IS NOT NULL",
     "path_tests": "SELECT link_id, regexp_matches(split_part(source, '::', 1), '(^|/)tests?/|(^|/)test_[^/]*\\.py$|_test\\.py$') AS is_test FROM impact_links WHERE source IS NOT NULL",
+    "text_headings": """WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS no FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS s FROM documents WHERE text IS NOT NULL)),
+        h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN trim(regexp_replace(line, '^#{1,6}\\s+', '')) END AS t FROM l), c AS (SELECT doc_id, t, last_value(t IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no) AS heading FROM h)
+        SELECT doc_id, heading, count(*) AS n FROM c WHERE heading IS NOT NULL AND t IS NULL GROUP BY 1, 2""",
+    "text_front_matter": """WITH l AS (SELECT doc_id, unnest(string_split(split_part(replace(text, chr(13), '')[5:], chr(10) || '---', 1), chr(10))) AS line FROM documents WHERE starts_with(replace(text, chr(13), ''), '---' || chr(10)))
+        SELECT doc_id, regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_.-]*)\\s*:', 1) AS field, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM l WHERE regexp_matches(line, '^[A-Za-z_][A-Za-z0-9_.-]*\\s*:')""",
     "text_lint_lines": "SELECT trim(code) AS code, count(*) AS n, sum(line)::BIGINT AS lines FROM lint_entries WHERE snapshot_no = 1 GROUP BY 1",
     "doc_contains": "SELECT doc_id FROM documents WHERE contains(lower(text), 'decision surface')",
     "evidence_coverage": "WITH n AS (SELECT DISTINCT node_id AS target, node_type FROM impact_nodes), l AS (SELECT trim(target) AS target, count(*) AS links FROM impact_links WHERE trim(target) <> '' GROUP BY 1) SELECT CASE WHEN node_type IS NULL THEN 'unknown' WHEN links IS NULL THEN 'dead' ELSE 'mapped' END AS state, node_type, count(*) AS n, sum(coalesce(links, 0))::BIGINT AS links FROM n FULL JOIN l USING (target) GROUP BY 1, 2",

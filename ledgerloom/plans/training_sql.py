@@ -137,4 +137,10 @@ SELECT v.h AS hierarchy, v.n AS node_name, CASE WHEN o.n IS NOT NULL THEN 'cycle
 FROM node v LEFT JOIN oncycle o ON o.h = v.h AND o.n = v.n LEFT JOIN cyc c ON c.h = v.h AND c.n = v.n LEFT JOIN dist s ON s.h = v.h AND s.n = v.n JOIN top t ON t.h = v.h AND t.n = v.n JOIN below b ON b.h = v.h AND b.n = v.n
 """
 
-ORACLES = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+P7_PATHS = P7[: P7.index("SELECT v.h AS hierarchy")] + """
+SELECT v.h AS hierarchy, v.n AS node_name, string_agg(r.a, ' > ' ORDER BY r.d DESC) AS path
+FROM node v LEFT JOIN oncycle o ON o.h = v.h AND o.n = v.n LEFT JOIN dist s ON s.h = v.h AND s.n = v.n JOIN reach r ON r.h = v.h AND r.n = v.n AND r.d <= CASE WHEN o.n IS NOT NULL THEN 0 ELSE coalesce(s.d, r.d) END
+GROUP BY v.h, v.n
+"""
+
+ORACLES = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p7_paths": P7_PATHS}
