@@ -3,8 +3,9 @@
 Items and documents are reduced to words in a normal form (no hidden characters, no accents, no line-break hyphens, no
 case). Words are canonicalised: numbers, names, units and months become typed placeholders, so windows of template
 words also meet where a question was re-parameterised. Windows are hash-joined; a hit is consistent if its slots hold
-the item's own words. A document whose consistent windows cover enough of an item is aligned with it word by word, which
-decides; one whose windows meet the template but not the slots is a re-parameterised copy.
+the item's own words. A document whose consistent windows cover enough of an item is aligned with it word by word. One
+whose windows meet the template but not the slots is a re-parameterised copy: it is aligned by template words, so the
+words between altered slots count however few they are, and is found if enough of them are the item's own.
 
 The set of items is read against all documents in blocks of a fixed number of items, whose index goes to the executors;
 documents are read once per block, never shuffled, whole, and no window or partner is capped.
@@ -17,7 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ WINDOW = 4
 SHARE = 0.40
 #: Share of an item's words under consistent windows from which it is aligned word by word.
 LEAST_COVER = 0.20
+#: Share of an item's words under template windows from which a document holds a re-parameterised copy of it.
+TEMPLATE_COVER = 0.60
 #: Blocks of equal words shorter than this don't count: chance meetings of common words.
 LEAST_BLOCK = 3
 #: Items of one index; further items are another pass over the documents.
@@ -75,6 +78,12 @@ def _names(texts: list[str]) -> set[str]:
     return upper - lower - MONTHS
 
 
+@lru_cache(1 << 16)
+def _fixed(word: str) -> int:
+    """The placeholder of a word whatever its case, or 0."""
+    return _MONTH if word in MONTHS else _UNIT if word in UNITS else _NUM if any(map(str.isdigit, word)) else 0
+
+
 def _hash(ids: np.ndarray, salt: int) -> np.ndarray:
     """Hash of each window of WINDOW ids."""
     n = max(len(ids) - WINDOW + 1, 0)
@@ -123,39 +132,34 @@ class LeakIndex:
         self.both, self.by_both = both[o], o
         self.lengths = np.array([len(w) for w in self.words], "i8")
 
-    def _ids(self, text: str, reports: bool) -> tuple[list[int], dict[int, int]]:
-        """The item words' numbers, 0 for others; and, for reports, the placeholders of other words by place."""
+    def _ids(self, text: str) -> tuple[list[int], list[int]]:
+        """The item words' numbers, 0 for others; and the placeholders of other words, 0 for the rest."""
         n = normal(text)
         low = _WORD.findall(n.lower())
         get = self.raw.get
         r = [get(w, 0) for w in low]
-        if not reports:  # a window with a word of no item can't be consistent
-            return r, {}
         found = _WORD.findall(n)
         if len(low) != len(found):  # letters whose lower case falls apart
             found = low
-        kinds = {}
-        for i, w in enumerate(low):
-            if not r[i]:
-                kinds[i] = _MONTH if w in MONTHS else _UNIT if w in UNITS else _NUM if any(map(str.isdigit, w)) else _NAME if found[i][0].isupper() else 0
+        kinds = [0 if x else _fixed(w) or (_NAME if f[0].isupper() else 0) for x, w, f in zip(r, low, found)]
         return r, kinds
 
     def search(self, texts: list[str | None], reports: bool = False) -> list[list[Hit]]:
-        """Hits of each text: verdict leaked, or, if reports, also re-parameterised."""
+        """Hits of each text: leaked, or re-parameterised with enough of the item's words; if reports, also with fewer."""
         out: list[list[Hit]] = [[] for _ in texts]
         if not len(self.ids):
             return out
-        rs, others, starts, at = [], {}, [], 0
+        rs, others, starts, at = [], [], [], 0
         for x in texts:
-            r, kinds = self._ids(x, reports) if x else ([], {})
+            r, kinds = self._ids(x) if x else ([], [])
             starts.append(at)
             rs += r
             rs.append(0)  # no window spans two texts
-            others |= {at + k: v for k, v in kinds.items()}
+            others += kinds
+            others.append(0)
             at += len(r) + 1
         raw = np.array(rs, "i8")
-        tem = self.kinds[raw]
-        tem[list(others.keys())] = list(others.values())
+        tem = self.kinds[raw] + np.array(others, "i8")
         if len(raw) < WINDOW:
             return out
         starts = np.array(starts)
@@ -172,14 +176,14 @@ class LeakIndex:
             share = self._aligned(i, dp, ip, raw, starts[d], starts[d + 1] if d + 1 < len(starts) else len(raw))
             if share >= SHARE:
                 out[d].append(Hit(int(self.ids[i]), "leaked", round(share, 4)))
-        if reports:
-            dpos, which = _expand(self.t, th[at], at)
-            doc = np.searchsorted(starts, dpos, "right") - 1
-            for d, i, dp, ip in _groups(doc, self.item[which], dpos, self.pos[which], self.lengths * SHARE / WINDOW):
-                n = self.lengths[i]
-                cover = max(_cover(p, n) for _, _, p in _regions(dp, ip, int(n))) / n
-                if cover >= 1.5 * SHARE and all(h.item_id != self.ids[i] for h in out[d]):
-                    out[d].append(Hit(int(self.ids[i]), "re-parameterised", round(float(cover), 4)))
+        dpos, which = _expand(self.t, th[at], at)
+        doc = np.searchsorted(starts, dpos, "right") - 1
+        for d, i, dp, ip in _groups(doc, self.item[which], dpos, self.pos[which], self.lengths * TEMPLATE_COVER / WINDOW):
+            if any(h.item_id == self.ids[i] for h in out[d]):
+                continue
+            share, cover = self._slotted(i, dp, ip, raw, tem, starts[d], starts[d + 1] if d + 1 < len(starts) else len(raw))
+            if share >= SHARE or reports and cover >= TEMPLATE_COVER:
+                out[d].append(Hit(int(self.ids[i]), "re-parameterised", round(share if share >= SHARE else cover, 4)))
         return out
 
     def _aligned(self, i: int, dp: np.ndarray, ip: np.ndarray, raw: np.ndarray, first: int, end: int) -> float:
@@ -194,6 +198,20 @@ class LeakIndex:
             best = max(best, sum(m.size for m in same if m.size >= min(LEAST_BLOCK, n)) / n)
         return best
 
+    def _slotted(self, i: int, dp: np.ndarray, ip: np.ndarray, raw: np.ndarray, tem: np.ndarray, first: int, end: int) -> tuple[float, float]:
+        """As _aligned, in blocks of equal template words, of which item i's own count; and the cover by template windows."""
+        n, best, most = int(self.lengths[i]), 0.0, 0.0
+        item = self.kinds[self.words[i]].tolist()
+        for a, b, p in _regions(dp, ip, n):
+            most = max(most, cover := _cover(p, n) / n)
+            if cover < TEMPLATE_COVER:
+                continue
+            s = slice(max(first, a - n // 2), min(end, b + WINDOW + n // 2))
+            own = raw[s].tolist()
+            same = [m for m in SequenceMatcher(None, item, tem[s].tolist(), autojunk=False).get_matching_blocks() if m.size >= min(LEAST_BLOCK, n)]
+            best = max(best, sum(self.words[i][m.a + k] == own[m.b + k] for m in same for k in range(m.size)) / n)
+        return best, most
+
 
 def _expand(sorted_keys: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each key its values repeated, and the positions of its equals in sorted_keys."""
@@ -240,8 +258,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, reports: bool = False) ->
     """doc_id, item_id, verdict, share: items of which documents hold at least SHARE of the words, in order and near.
 
     Null and empty texts and items, and items of fewer words than a window, have no rows; repeated rows of a document
-    give repeated rows; items of one id are searched each. reports adds verdict re-parameterised, where the template
-    covers most of the item but the slots differ. Extra columns are ignored.
+    give repeated rows; items of one id are searched each. verdict is re-parameterised where only the template brought
+    the words together. reports adds documents with fewer of the words, where the template covers most of the item but
+    the slots differ; their share is that cover. Extra columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")

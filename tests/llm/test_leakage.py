@@ -48,6 +48,17 @@ def test_reparameterised_items_are_reported_not_found(spark):
     assert got == {(3, 9, "re-parameterised")}
 
 
+def test_slots_altered_every_few_words_are_found_by_the_words_between():
+    short = "Project Zetsk kept 161 markers at Tovilo for 203 days and lost 390 envelopes at Brenvel in March with 161 owners at Zetsk over 203 hours"
+    slots = {"Zetsk": "Calnem", "161": "17", "Tovilo": "Pinosk", "203": "4", "390": "55", "Brenvel": "Haddul", "March": "June"}
+    other = " ".join(slots.get(w, w) for w in short.split())
+    fewer = " ".join("Calnem" if w.istitle() else "9" if w.isdigit() else "weeks" if w in L.UNITS else w for w in "Zetsk 161 days Tovilo 203 hours Brenvel in 390 weeks at Oradul 45 days".split())
+    index = L.LeakIndex([(9, short), (10, ITEM), (11, "Zetsk 161 days Tovilo 203 hours Brenvel in 390 weeks at Oradul 45 days")])
+    kept = sum(a == b for a, b in zip(short.split(), other.split())) / len(short.split())
+    assert [[(h.item_id, h.verdict, h.share) for h in hits] for hits in index.search([f"Notes first. {other} and so on"])] == [[(9, "re-parameterised", round(kept, 4))]]
+    assert index.search([fewer]) == [[]] and [h.item_id for h in index.search([fewer], reports=True)[0]] == [11]
+
+
 def test_copies_ties_blocks_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(L, "ITEMS_PER_BLOCK", 1)
     assert found(spark, [(1, ITEM + " " + OTHER), (1, ITEM)], [(1, ITEM), (2, OTHER), (3, ITEM), (4, None), (5, ""), (6, "a b")]) == {(1, 1), (1, 2), (1, 3)}
