@@ -142,15 +142,11 @@ def _snapshot_rows(keys: bool, values: bool = False):
     return run
 
 
-def replay(envelopes: DataFrame, snapshots: DataFrame, markers: DataFrame, values: bool = False, root: str | None = None) -> DataFrame:
-    """State keys of every run after its snapshot and the messages up to its committed sequence.
+def run_bounds(snapshots: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The snapshot that each run starts from (run_id, cursor, id), and each run's bounds (run_id, cursor, last).
 
-    Columns run_id, state_key, sequence (0 if from the snapshot), and value_json if values. The snapshot is the
-    readable one with the highest seq (then the highest cursor, then the highest id; a null seq is below all); a null cursor
-    lies below every sequence; a run without a non-null marker has no upper bound. Rows without run or sequence, kinds
-    other than set and delete, unreadable payloads and empty keys do nothing. Empty tables are fine.
+    The rules are those of replay(); a null bound doesn't bind.
     """
-    spark = envelopes.sparkSession
     states = snapshots.select(F.col("snapshot_id").alias("id"), identifier("run_id").alias("run_id"), "seq", "replay_cursor", "state_json").where("run_id is not null")
     readable = states.select("id", "state_json").mapInArrow(_snapshot_rows(False), "id bigint, state_key string, val string").select("id")
     best = stored(
@@ -160,7 +156,20 @@ def replay(envelopes: DataFrame, snapshots: DataFrame, markers: DataFrame, value
         "snapshots",
     )
     commits = markers.select(identifier("run_id").alias("run_id"), "last_durable_sequence").dropna().groupBy("run_id").agg(F.max("last_durable_sequence").alias("last"))
-    bounds = best.select("run_id", "cursor").join(commits, "run_id", "full")
+    return best, best.select("run_id", "cursor").join(commits, "run_id", "full")
+
+
+def replay(envelopes: DataFrame, snapshots: DataFrame, markers: DataFrame, values: bool = False, root: str | None = None) -> DataFrame:
+    """State keys of every run after its snapshot and the messages up to its committed sequence.
+
+    Columns run_id, state_key, sequence (0 if from the snapshot), and value_json if values. The snapshot is the
+    readable one with the highest seq (then the highest cursor, then the highest id; a null seq is below all); a null cursor
+    lies below every sequence; a run without a non-null marker has no upper bound. Rows without run or sequence, kinds
+    other than set and delete, unreadable payloads and empty keys do nothing. Empty tables are fine.
+    """
+    spark = envelopes.sparkSession
+    states = snapshots.select(F.col("snapshot_id").alias("id"), "state_json")
+    best, bounds = run_bounds(snapshots, markers)
     feed = envelopes.select(identifier("run_id").alias("run_id"), F.col("sequence").alias("seq"), identifier("op_kind").alias("kind"), F.col("payload_json").alias("payload"))
     feed = feed.where("run_id is not null and seq is not null and kind in ('set', 'delete') and payload is not null")
     feed = join_measured(feed, bounds, "run_id", "left").where("(cursor is null or seq > cursor) and (last is null or seq <= last)")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.functions.text import identifier, reference
-from ledgerloom.operators import deltas, fingerprints, graphs, joins, ledger, series, sets, taint
+from ledgerloom.operators import changefeed, deltas, fingerprints, graphs, joins, ledger, series, sets, taint
 from ledgerloom.plans.compile import apply_spec
 from ledgerloom.plans.registry import PREDICATES, SPECS
 from ledgerloom.plans.spec import Op, Spec, identity
-from ledgerloom.session import table
+from ledgerloom.session import join_measured, table
 from ledgerloom.sources import text as lines_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,6 +395,15 @@ def ledger_tail(spark, d):
     return ledger.committed(e, "event_id", F.lit(100), F.lit(900)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query
+def ledger_tail_runs(spark, d):
+    """Deliveries by run and kind of change, each run after its own snapshot and up to its own committed sequence."""
+    _, bounds = changefeed.run_bounds(table(spark, d, "snapshot_envelopes"), table(spark, d, "commit_markers"))
+    e = table(spark, d, "event_envelopes").select(identifier("run_id").alias("run_id"), "sequence", identifier("op_kind").alias("op_kind")).dropna(subset=["run_id", "sequence"])
+    tail = ledger.committed(join_measured(e, bounds, "run_id", "left"), "sequence", F.col("cursor"), F.col("last"))
+    return tail.groupBy("run_id", "op_kind").agg(F.count("*").alias("n"))
+
+
 @query
 def ledger_parity(spark, d):
     """A replay in two steps agrees with one replay: no rows."""
