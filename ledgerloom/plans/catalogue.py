@@ -285,12 +285,23 @@ def join_as_of(spark, d):
     return joins.as_of(left, right, ["user_id"], "ts", "value", F.date_trunc("month", "ts")).select("event_id", F.col("asof_value").alias("last_purchase"))
 
 
+def _near_errors(entries, keys):
+    """Info entries with the errors of the same keys within 5 lines of them."""
+    e = entries.select(*keys, F.col("line").alias("at"), "severity").distinct()
+    spans = e.where("severity = 'error'").select(*keys, (F.col("at") + 5).alias("start"), (F.col("at") - 5).alias("end"), F.col("at").alias("error_line"))
+    return joins.point_join(e.where("severity = 'info'").drop("severity"), spans, keys, 50).select(*keys, F.col("at").alias("line"), "error_line")
+
+
 @query
 def join_point_in_span(spark, d):
-    """Lint entries inside the line spans of impact sites: entries of a scope within 5 lines of an error."""
-    e = table(spark, d, "lint_entries").where("snapshot_no = 1").select("scope_id", "path", F.col("line").alias("at"), "severity").distinct()
-    spans = e.where("severity = 'error'").select("scope_id", "path", (F.col("at") + 5).alias("start"), (F.col("at") - 5).alias("end"), F.col("at").alias("error_line"))
-    return joins.point_join(e.where("severity = 'info'").drop("severity"), spans, ["scope_id", "path"], 50).select("scope_id", "path", F.col("at").alias("line"), "error_line")
+    """Lint entries inside the line spans of impact sites: entries of a scope within 5 lines of an error; first snapshots, as in SQL."""
+    return _near_errors(table(spark, d, "lint_entries").where("snapshot_no = 1"), ["scope_id", "path"])
+
+
+@query
+def join_point_in_span_all(spark, d):
+    """As join_point_in_span, within each of all snapshots."""
+    return _near_errors(table(spark, d, "lint_entries"), ["scope_id", "snapshot_no", "path"])
 
 
 # Deltas, gates, trends
@@ -576,11 +587,21 @@ def text_front_matter(spark, d):
     return lines_of.front_matter(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _lint_lines(entries):
+    e = entries.select(F.format_string("%s:%d:%d: %s %s", F.trim(F.regexp_replace("path", r"\\", "/")), "line", "col", F.trim("code"), "message").alias("t"))
+    return lines_of.lint_lines(e, "t").groupBy("code").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+
+
 @query
 def text_lint_lines(spark, d):
-    """Lint entries written as lines and read again."""
-    e = table(spark, d, "lint_entries").where("snapshot_no = 1").select(F.format_string("%s:%d:%d: %s %s", F.trim(F.regexp_replace("path", r"\\", "/")), "line", "col", F.trim("code"), "message").alias("t"))
-    return lines_of.lint_lines(e, "t").groupBy("code").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+    """Lint entries written as lines and read again; first snapshots, as in SQL."""
+    return _lint_lines(table(spark, d, "lint_entries").where("snapshot_no = 1"))
+
+
+@query
+def text_lint_lines_all(spark, d):
+    """As text_lint_lines, of all snapshots."""
+    return _lint_lines(table(spark, d, "lint_entries"))
 
 
 @query

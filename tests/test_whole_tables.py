@@ -28,3 +28,22 @@ def test_ledger_tail_runs(spark, sf_dir, duck):
     got = {(r.run_id, r.op_kind): r.n for r in catalogue.ledger_tail_runs(spark, sf_dir).collect()}
     assert got == {k: n for k, n in want.items() if n}
     assert 0 < sum(got.values()) < every
+
+
+def test_join_point_in_span_all(spark, sf_dir, duck):
+    entries = set(duck.execute("SELECT scope_id, snapshot_no, path, line, severity FROM lint_entries").fetchall())
+    errors = {}
+    for *k, line, severity in entries:
+        if severity == "error" and None not in k:
+            errors.setdefault(tuple(k), []).append(line)
+    want = Counter((*k, line, x) for *k, line, severity in entries if severity == "info" for x in errors.get(tuple(k), ()) if abs(line - x) <= 5)
+    got = Counter(tuple(r) for r in catalogue.join_point_in_span_all(spark, sf_dir).collect())
+    assert got == want and {k[1] for k in got} - {1}
+
+
+def test_text_lint_lines_all(spark, sf_dir, duck):
+    want = {}
+    for code, line in duck.execute("SELECT trim(code), line FROM lint_entries").fetchall():
+        n, lines = want.get(code, (0, 0))
+        want[code] = n + 1, lines + line
+    assert {r.code: (r.n, r.lines) for r in catalogue.text_lint_lines_all(spark, sf_dir).collect()} == want
