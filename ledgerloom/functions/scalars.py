@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.text import col
+from ledgerloom.functions.text import col, read_object
 
 
 def canonical_json(value) -> str:
@@ -46,6 +46,20 @@ def canonical_text(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_object(s: pd.Series) -> pd.Series:
+    """JSON objects to canonical JSON, also those encoded once more as a JSON string; all else becomes null."""
+
+    def one(x):
+        try:
+            value = read_object(x)
+            return None if value is None else canonical_json(value)
+        except (ValueError, RecursionError):
+            return None
+
+    return s.map(one)
+
+
 @F.pandas_udf(T.StringType())
 def evidence_fingerprint(s: pd.Series) -> pd.Series:
     """ekf: and 96 bits of BLAKE2s of a text."""

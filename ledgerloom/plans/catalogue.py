@@ -552,11 +552,18 @@ def scalar_durations(spark, d):
 
 @query
 def scalar_canonical_json(spark, d):
-    """Readable payloads in canonical form; compared by their keys."""
+    """Payloads written as objects in canonical form, of which the key comes out, as in SQL."""
     e = table(spark, d, "event_envelopes").where("payload_json like '{%'").select("delivery_id", scalars.canonical_text("payload_json").alias("c"))
     return e.where("c is not null").select("delivery_id", F.get_json_object("c", "$.key").alias("state_key"))
 
 
+@query
+def scalar_canonical_objects(spark, d):
+    """All readable payloads in canonical form."""
+    e = table(spark, d, "event_envelopes").select("delivery_id", scalars.canonical_object("payload_json").alias("canonical"))
+    return e.where("canonical is not null")
+
+
 @query
 def scalar_evidence_fingerprint(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.evidence_fingerprint("p_name").alias("ekf"))

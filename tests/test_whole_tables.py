@@ -1,5 +1,6 @@
 """Queries over whole tables where those that SQL states are bound to a part of one, against plain readings."""
 
+import json
 from collections import Counter
 
 from ledgerloom.functions.text import read_object
@@ -47,3 +48,12 @@ def test_text_lint_lines_all(spark, sf_dir, duck):
         n, lines = want.get(code, (0, 0))
         want[code] = n + 1, lines + line
     assert {r.code: (r.n, r.lines) for r in catalogue.text_lint_lines_all(spark, sf_dir).collect()} == want
+
+
+def test_scalar_canonical_objects(spark, sf_dir, duck):
+    texts = dict(duck.execute("SELECT delivery_id, payload_json FROM event_envelopes WHERE payload_json IS NOT NULL").fetchall())
+    want = {i: v for i, t in texts.items() if (v := read_object(t)) is not None}
+    got = {r.delivery_id: r.canonical for r in catalogue.scalar_canonical_objects(spark, sf_dir).collect()}
+    assert {i: json.loads(c) for i, c in got.items()} == want
+    assert all(c == json.dumps(want[i], sort_keys=True, separators=(",", ":"), ensure_ascii=False) for i, c in got.items())
+    assert any(texts[i].startswith('"') for i in got)
