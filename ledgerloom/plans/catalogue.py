@@ -478,14 +478,24 @@ def graph_wl(spark, d):
     return graphs.refine(nodes, e, 2).groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first_node")).select("first_node", "size")
 
 
-@query
-def graph_signature(spark, d):
-    e = _geo(spark, d).where("src like 'r%'")
+def _numbered_edges(e):
     kinds = e.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("kind", F.substring("name", 1, 1))
     _, numbered = graphs.graph_signature(e, kinds)
     return numbered.select(F.col("src_no").cast("bigint").alias("src_no"), F.col("dst_no").cast("bigint").alias("dst_no"))
 
 
+@query
+def graph_signature(spark, d):
+    """Edges between regions and nations by dense numbers of their ends, as in SQL."""
+    return _numbered_edges(_geo(spark, d).where("src like 'r%'"))
+
+
+@query
+def graph_signature_all(spark, d):
+    """As graph_signature, with the customers."""
+    return _numbered_edges(_geo(spark, d))
+
+
 @query
 def graph_scc(spark, d):
     """Strongly connected components of several nodes in the explicit links between documents."""

@@ -57,3 +57,11 @@ def test_scalar_canonical_objects(spark, sf_dir, duck):
     assert {i: json.loads(c) for i, c in got.items()} == want
     assert all(c == json.dumps(want[i], sort_keys=True, separators=(",", ":"), ensure_ascii=False) for i, c in got.items())
     assert any(texts[i].startswith('"') for i in got)
+
+
+def test_graph_signature_all(spark, sf_dir, duck):
+    edges = set(duck.execute("SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer").fetchall())
+    no = {x: i for i, x in enumerate(sorted({x for e in edges for x in e}, key=lambda x: (x[0], x)))}
+    got = [tuple(r) for r in catalogue.graph_signature_all(spark, sf_dir).select("src_no", "dst_no").collect()]
+    assert sorted(got) == sorted((no[a], no[b]) for a, b in edges)
+    assert len(got) > 25
