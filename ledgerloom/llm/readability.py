@@ -24,8 +24,6 @@ from ledgerloom.session import join_measured
 LEVELS = ("basic", "intermediate", "advanced")
 #: Labelled documents used for training at most, by the order of a hash of their ids.
 MAX_LABELLED = 20_000
-#: Documents that seed the levels without labels at most, by the same order.
-MAX_SEEDS = 20_000
 #: Words of running prose below which a document gets no level.
 LEAST_WORDS = 40
 #: Share of a level's model that is the mixture of all levels, and pseudo-counts of a word never seen.
@@ -118,7 +116,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> LevelModel:
-    """Models from at most MAX_LABELLED labelled documents; levels without any are seeded by the formula.
+    """Models from at most MAX_LABELLED labelled documents; levels without any are seeded by the formula from all
+    documents in English.
 
     A document's label is the level most of its ratings name (repeated ratings of a rater count once); ties and
     ratings of other names are left out. Without any documents all levels are alike and the prior decides.
@@ -134,8 +133,8 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModel:
     rows = got.groupBy("level", "word").agg(F.sum("n").alias("n")).collect()  # words of a bounded sample
     missing = set(range(len(LEVELS))) - {r.level for r in rows}
     if missing:
-        ids = documents.where(english("lang") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SEEDS)
-        seeds = join_measured(text, ids, "doc_id").select(F.lit(None).cast("int").alias("level"), "text").mapInArrow(_counts, "level int, word string, n bigint")
+        every = documents.where(english("lang") & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+        seeds = every.select(F.lit(None).cast("int").alias("level"), "text").mapInArrow(_counts, "level int, word string, n bigint")
         rows += seeds.where(F.col("level").isin(*missing)).groupBy("level", "word").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:

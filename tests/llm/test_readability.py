@@ -46,6 +46,16 @@ def test_seeding_where_nobody_labelled(spark):
     assert sum(got[i] == truth[i] for i in truth) >= 0.95 * len(truth)
 
 
+def test_all_documents_seed(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_SEEDS", 5, raising=False)
+    docs, _, truth = corpus(random.Random(6))
+    d = spark.createDataFrame([(i, t, l, 0, "") for i, t, l in docs], DOCS)
+    model = R.train(d, spark.createDataFrame([], LABELS))
+    n = Counter(sum(R.difficulty(R.sentences(t)) > x for x in R.SEED_LIMITS) for _, t, _ in docs)
+    want = np.array([n[i] + 1 for i in range(3)])
+    assert np.allclose(model.prior, np.log(want / want.sum()))
+
+
 def test_who_gets_a_level(spark):
     rng = random.Random(5)
     docs, labels, _ = corpus(rng, 30)
