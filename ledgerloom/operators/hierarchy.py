@@ -107,6 +107,20 @@ def descendant_pairs(resolved: DataFrame) -> DataFrame:
     return e.select("hierarchy", "node_name", "descendant", (F.col("n") - 1 - F.col("pos")).cast("bigint").alias("distance"))
 
 
+def descendants(resolved: DataFrame) -> DataFrame:
+    """hierarchy, node_name, descendant: every node with each of its other nodes downwards; resolved must have paths.
+
+    A node on a cycle is above all others on it and all nodes below it; the join is as large as what comes out.
+    """
+    first = F.when(F.col("node_class") == "below_cycle", 2).otherwise(1)  # the path's node on the cycle is among those of the join
+    above = F.slice("path", first, F.greatest(F.size("path") - first, F.lit(0)))
+    pairs = resolved.where("node_class <> 'cycle'").select("hierarchy", F.explode(above).alias("name"), F.col("node_name").alias("descendant"))
+    on = resolved.where("node_class = 'cycle'").select("hierarchy", "root_node", F.col("node_name").alias("name"))
+    under = resolved.where("node_class <> 'tree'").select("hierarchy", "root_node", F.col("node_name").alias("descendant"))
+    rounds = on.join(under, ["hierarchy", "root_node"]).where("name <> descendant").select("hierarchy", "name", "descendant")
+    return pairs.unionByName(rounds).withColumnRenamed("name", "node_name")
+
+
 def link_edges(links: DataFrame) -> DataFrame:
     """Explicit doc links as edges, the source above the target."""
     of = links.where((F.lower(tidy("source_kind")) == "doc") & (F.lower(tidy("confidence")) == "explicit"))

@@ -44,6 +44,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchies(hierarchy.all_edges(table(spark, d, "impact_links"), table(spark, d, "doc_frontmatter")))
 
 
+def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
+    full = hierarchy.hierarchies(hierarchy.all_edges(table(spark, d, "impact_links"), table(spark, d, "doc_frontmatter")), paths=True)
+    return hierarchy.descendants(full)
+
+
 def p7_paths(spark: SparkSession, d: str) -> DataFrame:
     full = hierarchy.hierarchies(hierarchy.all_edges(table(spark, d, "impact_links"), table(spark, d, "doc_frontmatter")), paths=True)
     return full.select("hierarchy", "node_name", F.array_join("path", " > ").alias("path"))

@@ -76,6 +76,14 @@ def test_descendant_pairs(spark):
     assert got == {("h", "a", "b", 1), ("h", "a", "c", 2), ("h", "b", "c", 1), ("h", "a", "d", 1)}
 
 
+def test_descendants_of_cycles_too(spark):
+    edges = [("b", "a"), ("c", "b"), ("e", "e"), ("f", "e"), ("x", "z"), ("y", "x"), ("z", "y"), ("w", "y"), ("v", "w")]
+    e = spark.createDataFrame([("h", c, p) for c, p in edges], "hierarchy string, child string, parent string")
+    got = sorted((r.node_name, r.descendant) for r in H.descendants(H.hierarchies(e, paths=True)).collect())
+    cycle = [(a, b) for a in "xyz" for b in "vwxyz" if a != b]
+    assert got == sorted([("a", "b"), ("a", "c"), ("b", "c"), ("e", "f"), ("w", "v"), *cycle])
+
+
 def test_edges_of_documents(spark):
     docs = spark.createDataFrame([("./a.md", 1, ["x.md#s"], 1), ("a.md", 2, [" ", None, "./b.md#t", "c.md"], 2), ("b.md", 1, None, 3), (None, 5, ["a.md"], 4), ("c.md", 1, ["#only"], 5)], "doc_path string, doc_revision int, doc_requires array<string>, row_id bigint")
     docs = docs.selectExpr("*", "cast(null as timestamp) published_at")
