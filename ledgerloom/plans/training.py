@@ -30,6 +30,18 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return schemadrift.unified(files, schemadrift.file_changes(files))
 
 
+def p4_event_envelope(spark: SparkSession, d: str) -> DataFrame:
+    return schemadrift.wide_table(p4_unified(spark, d), "event_envelope")
+
+
+def p4_archive_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return schemadrift.wide_table(p4_unified(spark, d), "archive_manifest")
+
+
+def p4_ambiguity_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return schemadrift.wide_table(p4_unified(spark, d), "ambiguity_baseline")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = snapshotdiff.lint_rows(table(spark, d, "lint_entries")).unionByName(snapshotdiff.metric_rows(table(spark, d, "advisory_metrics")))
     return snapshotdiff.snapshot_changes(rows)

@@ -4,7 +4,7 @@ import json
 from collections import Counter
 
 from ledgerloom.functions.text import read_object
-from ledgerloom.plans import catalogue
+from ledgerloom.plans import catalogue, training
 
 
 def ident(x):
@@ -65,3 +65,12 @@ def test_graph_signature_all(spark, sf_dir, duck):
     got = [tuple(r) for r in catalogue.graph_signature_all(spark, sf_dir).select("src_no", "dst_no").collect()]
     assert sorted(got) == sorted((no[a], no[b]) for a, b in edges)
     assert len(got) > 25
+
+
+def test_typed_table_of_each_family(spark, sf_dir):
+    long = training.p4_unified(spark, sf_dir).select("family", "file_id", "record_no", "value_type").collect()
+    for family in {r.family for r in long}:
+        wide = vars(training)[f"p4_{family}"](spark, sf_dir)
+        assert wide.count() == len({(r.file_id, r.record_no) for r in long if r.family == family})
+        if any(r.family == family and r.value_type == "integer" for r in long):
+            assert "bigint" in {t for c, t in wide.dtypes if c not in ("file_id", "record_no")}
