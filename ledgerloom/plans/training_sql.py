@@ -102,11 +102,14 @@ FROM cur c FULL JOIN old o ON c.t = o.t AND c.scope_id = o.scope_id AND c.pair =
 WHERE o.k IS NULL OR c.k IS NULL OR (c.a, c.b, c.c) IS DISTINCT FROM (o.a, o.b, o.c)
 """
 
+#: A bare ./ isn't blank, and names the empty string.
+_TARGET = f"CASE WHEN trim({{}}, {_BLANK}) <> '' THEN regexp_replace(trim({{}}, {_BLANK}), '^\\./', '') END"
+
 P6 = f"""
 WITH refs AS (
-  SELECT 'impact_links' AS ref_table, link_id AS row_id, {_ref("target")} AS target, NULL AS need, seen_at AS tm FROM impact_links
-  UNION ALL SELECT 'doc_requires', row_id, {_ref("x")}, NULL, tm FROM (SELECT row_id, unnest(doc_requires) AS x, published_at AS tm FROM doc_frontmatter)
-  UNION ALL SELECT 'doc_reviewed_as_of', row_id, {_ref("e.key")}, e.value, tm FROM (SELECT row_id, unnest(map_entries(doc_reviewed_as_of)) AS e, published_at AS tm FROM doc_frontmatter)),
+  SELECT 'impact_links' AS ref_table, link_id AS row_id, {_TARGET.replace("{}", "target")} AS target, NULL AS need, seen_at AS tm FROM impact_links
+  UNION ALL SELECT 'doc_requires', row_id, {_TARGET.replace("{}", "x")}, NULL, tm FROM (SELECT row_id, unnest(doc_requires) AS x, published_at AS tm FROM doc_frontmatter)
+  UNION ALL SELECT 'doc_reviewed_as_of', row_id, {_TARGET.replace("{}", "e.key")}, e.value, tm FROM (SELECT row_id, unnest(map_entries(doc_reviewed_as_of)) AS e, published_at AS tm FROM doc_frontmatter)),
 found AS (
   SELECT r.ref_table, r.row_id, r.target, r.need, r.tm, coalesce(bool_or(n.valid_from <= r.tm AND (n.valid_to IS NULL OR r.tm < n.valid_to)), false) AS alive,
     max(n.revision) FILTER (n.valid_from <= r.tm AND (n.valid_to IS NULL OR r.tm < n.valid_to)) AS rev, coalesce(bool_or(n.valid_to <= r.tm), false) AS ended, bool_or(n.node_id IS NOT NULL) AS known

@@ -1,5 +1,8 @@
 import datetime as dt
 
+import numpy as np
+import pytest
+
 from ledgerloom.operators import orphans
 
 R = "ref_table string, row_id bigint, target string, need int, at timestamp, revision int, node_id string"
@@ -47,3 +50,41 @@ def test_collected_references(spark):
     docs = spark.createDataFrame([(5, ["x", None, ""], {"./y": 2, "z": None}, day(2, 1)), (6, None, None, day(2, 1))], "row_id bigint, doc_requires array<string>, doc_reviewed_as_of map<string,int>, published_at timestamp")
     got = {(r.ref_table, r.row_id, r.target, r.need) for r in orphans.collect_references(links, docs).where("target is not null").collect()}
     assert got == {("impact_links", 1, "a", None), ("doc_requires", 5, "x", None), ("doc_reviewed_as_of", 5, "y", 2), ("doc_reviewed_as_of", 5, "z", None)}
+
+
+def test_a_bare_prefix_names_nothing_and_is_an_orphan(spark):
+    links = spark.createDataFrame([(1, "./  ", day(1, 1)), (2, " ", day(1, 1))], "link_id bigint, target string, seen_at timestamp")
+    docs = spark.createDataFrame([], "row_id bigint, doc_requires array<string>, doc_reviewed_as_of map<string,int>, published_at timestamp")
+    nodes = spark.createDataFrame([], "node_id string, revision int, valid_from timestamp, valid_to timestamp")
+    assert {tuple(r) for r in orphans.orphan_references(orphans.collect_references(links, docs), nodes).collect()} == {("impact_links", 1, "", "missing", "2025-01")}
+
+
+@pytest.mark.parametrize(("share", "form"), [(0.001, "list"), (0.3, "bits"), (1.0, "runs"), (0.0, "list")])
+def test_bitmaps_of_every_density(share, form):
+    rng = np.random.default_rng(1)
+    n = orphans.RANGE
+    p = np.flatnonzero(rng.random(n) < share)
+    q = np.flatnonzero(rng.random(n) < 0.5)
+    a = orphans.Bitmap.of(p, n)
+    assert a.form == form and a.nbytes <= n // 8
+    assert (a.positions() == p).all() and a.has(np.arange(n)).nonzero()[0].tolist() == p.tolist()
+    for other in (q, p[: len(p) // 2], np.arange(100, 9000), p[:0]):
+        assert a.and_not(orphans.Bitmap.of(other, n)).positions().tolist() == sorted(set(p.tolist()) - set(other.tolist()))
+
+
+def test_lifetimes_that_touch_gaps_and_long_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    t0 = dt.datetime(2024, 11, 1)
+    at = lambda: t0 + dt.timedelta(hours=rng.choice([0, 24 * 30, 24 * 61, rng.randrange(9000)]))
+    nodes = [(f"n{rng.randrange(12)}", rng.randrange(5), a, None if rng.random() < 0.3 else a + dt.timedelta(hours=rng.randrange(3000))) for a in (at() for _ in range(60))]
+    refs = [("t", i, f"n{rng.randrange(14)}", rng.choice([None, 1, 3, 6]), at()) for i in range(800)]
+    want = set()
+    for _, i, x, need, a in refs:
+        own = [(v, s, e) for n, v, s, e in nodes if n == x]
+        alive = [v for v, s, e in own if s <= a and (e is None or a < e)]
+        why = ("missing_revision" if need is not None and need > max(alive) else None) if alive else "deleted" if any(e and e <= a for *_, e in own) else "late" if own else "missing"
+        if why:
+            want.add(("t", i, x, why, a.strftime("%Y-%m")))
+    assert found(spark, refs, nodes) == want and {w[3] for w in want} == {"missing_revision", "deleted", "late", "missing"}
