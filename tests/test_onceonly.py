@@ -62,3 +62,46 @@ def test_colliding_first_halves():
     runs.add(run)
     h1, h2 = np.array([5, 5, 5, 8, 9], "u8"), np.array([2, 9, 3, 1, 1], "u8")
     assert runs.known(h1, h2).tolist() == [True, True, False, True, False]
+
+
+def test_a_batch_that_comes_again_gives_what_it_gave(spark):
+    parts = [identifier("run_id"), F.col("sequence"), identifier("op_id")]
+    index = IdentifierIndex(spark)
+    got = lambda ix, rows, name: sorted(r.delivery_id for r in ix.admit(frame(spark, rows), parts, "received_at", "delivery_id", name).collect())
+    a, b = [(1, "r", 1, "o", 1), (2, "r", 1, "o", 2), (3, "r", 2, "o", 3)], [(4, "r", 1, "o", 4), (5, "r", 9, "o", 5)]
+    assert got(index, a, "a") == [2] == got(index, a, "a")
+    assert got(index, b, "b") == [4] == got(IdentifierIndex(spark, index.root), b, "b")
+    index.merge()
+    later = IdentifierIndex(spark, index.root)
+    assert got(later, a, "a") == [2] and got(later, [(6, "r", 9, "o", 6)], "c") == [6] and len(later.runs) == 2
+
+
+def test_an_unfinished_run_is_written_over(spark):
+    from ledgerloom.session import _hadoop
+
+    parts = [identifier("run_id"), F.col("sequence"), identifier("op_id")]
+    index = IdentifierIndex(spark)
+    rows = frame(spark, [(1, "r", 1, "o", 1), (2, "r", 1, "o", 2)])
+    index.admit(rows, parts, "received_at", "delivery_id", "a")
+    p, fs = _hadoop(spark, f"{index.runs[0]}/_SUCCESS")
+    fs.delete(p, False)
+    again = IdentifierIndex(spark, index.root)
+    assert again.runs == [] and [r.delivery_id for r in again.admit(rows, parts, "received_at", "delivery_id", "a").collect()] == [2]
+
+
+def test_stored_runs_are_searched_by_later_splits(spark, monkeypatch):
+    rows = [(i, "r", i % 7, "o", i if i % 5 else None) for i in range(60)]
+    want = set()
+    best = {}
+    for i, _, s, _, t in sorted(rows, key=lambda r: (r[4] is None, r[4] or 0, r[0])):
+        want.add(i) if s in best else best.setdefault(s, i)
+    for splits in (1, 2, 5):
+        assert {r.delivery_id for r in onceonly.surplus_deliveries(frame(spark, rows), splits=splits).collect()} == want
+
+
+def test_prefixes_of_other_lengths_meet(spark, monkeypatch):
+    parts = [identifier("run_id"), F.col("sequence"), identifier("op_id")]
+    index = IdentifierIndex(spark)
+    index.admit(frame(spark, [(i, "r", i, "o", i) for i in range(50)]), parts, "received_at", "delivery_id")
+    monkeypatch.setattr(onceonly, "MORE_BITS", 9)
+    assert sorted(r.delivery_id for r in index.admit(frame(spark, [(100 + i, "r", i, "o", i) for i in range(40, 60)]), parts, "received_at", "delivery_id").collect()) == list(range(140, 150))
