@@ -95,3 +95,56 @@ def test_against_brute_force_on_the_tables(spark, sf_dir):
                 assert aligned_share(items[i], w) >= L.SHARE
             elif len(own & grams[i]) >= 0.3 * len(items[i]):
                 raise AssertionError((d, i))
+
+
+SLOTTED = "Project Zetsk kept 161 markers at Tovilo for 203 days and lost 390 envelopes at Brenvel in March with 161 owners at Zetsk over 203 hours"
+SWAPS = {"Zetsk": "Calnem", "161": "17", "Tovilo": "Pinosk", "203": "4", "390": "55", "Brenvel": "Haddul", "March": "June"}
+
+
+def test_without_placeholders_altered_slots_are_lost(monkeypatch):
+    text = f"Notes first. {' '.join(SWAPS.get(w, w) for w in SLOTTED.split())} and so on"
+    hits = lambda: [[h.item_id for h in x] for x in L.LeakIndex([(9, SLOTTED), (10, ITEM)]).search([text])]
+    assert hits() == [[9]]
+    monkeypatch.setattr(L, "_names", lambda texts: set())
+    monkeypatch.setattr(L, "_fixed", lambda w: 0)
+    monkeypatch.setattr(L, "MONTHS", frozenset())
+    monkeypatch.setattr(L, "UNITS", frozenset())
+    monkeypatch.setattr(L, "_template", lambda w, n, names: n)
+    monkeypatch.setattr(L, "_NAME", 0)
+    assert hits() == [[]]
+
+
+def test_slots_must_be_consistent():
+    words = SLOTTED.split()
+    thrice = (SLOTTED + " and ") * 3
+    other = "and".join(" ".join(f"{SWAPS[w]}{k}" if w in SWAPS and w != "March" else w for w in words) + " " for k in range(3))
+    index = L.LeakIndex([(1, thrice)])
+    assert index.search([other]) == [[]]  # each time another word
+    assert [h.verdict for h in index.search([" ".join(SWAPS.get(w, w) for w in thrice.split())])[0]] == ["re-parameterised"]
+
+
+def test_short_items_count_where_they_stand_whole(spark):
+    assert found(spark, [(1, "say yes, please"), (2, "yes"), (3, "Yes! no")], [(1, "Yes"), (2, "yes please"), (3, "yes no maybe")]) == {(1, 1), (1, 2), (2, 1), (3, 1)}
+
+
+def recall(rate, slots, trials=40):
+    """Share of copies found of which so many words are altered, slots first or any."""
+    rng = random.Random(7)
+    items = [ITEM, OTHER, SLOTTED]
+    index = L.LeakIndex(list(enumerate(items)))
+    hit = 0
+    for t in range(trials):
+        i = t % len(items)
+        words = items[i].split()
+        at = [k for k, w in enumerate(words) if w[0].isupper() or w[0].isdigit()] if slots else range(len(words))
+        change = set(rng.sample(list(at), min(len(at), int(rate * len(words)))))
+        text = " ".join((str(rng.randrange(1000, 9999)) if w[0].isdigit() else f"Vor{k}" if w[0].isupper() else f"altered{k}") if k in change else w for k, w in enumerate(words))
+        hit += any(h.item_id == i for h in index.search([f"Rumour says so. {text} And more."])[0])
+    return hit / trials
+
+
+def test_recall_of_copies_with_many_altered_words():
+    assert recall(0.0, False) == recall(0.1, False) == 1.0
+    assert recall(0.2, False) >= 0.9
+    assert recall(0.25, True) == 1.0
+    assert recall(0.6, False) == 0.0  # not a few
