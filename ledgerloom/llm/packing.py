@@ -4,8 +4,13 @@ Texts are measured in tokens once. For each capacity, texts longer than it give
 own, and a remainder. Lengths fall into classes of 1/64 of the capacity; all patterns of few lengths that fill a
 container nearly are enumerated, and non-negative least squares finds how often to repeat each so that the histogram is
 met. Counts are rounded down; which text takes which place of which copy follows from its number within its class, so
-patterns need neither a join nor a shuffle of texts. What is left, and all short texts, fill the room left in pattern
-containers and then new ones, best fit and longest first, in groups of bounded size.
+patterns need neither a join nor a shuffle of texts.
+
+Where a container holds many more texts than a pattern, patterns go by levels: short texts are first fitted into bundles
+of about a quarter of the container, those of shorter texts again into quarters, until few texts of mean length fill
+one; a bundle then takes a place in the patterns of the level above, by its true length. What is left over at a level, a
+reserve of the shortest level, and the texts of bundles that found no place fill the room left in pattern containers and
+then new ones, best fit and longest first, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import base64
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CLASSES, SHORTEST, MOST, SLACK = 64, 4, 4, 2
 #: Leftover texts and open containers of a group that is packed together.
 GROUP = 20_000
-_ITEM = "capacity int, doc_id bigint, piece_no int, start_token bigint, tokens int, cls int, part int, seq bigint"
+#: A bundle may be as long as this share of a quarter of the level above; and one of so many texts of the lowest level
+#: is kept to fill room.
+BUNDLE, RESERVE = 1.025, 10
+_ITEM = "capacity int, doc_id bigint, piece_no int, start_token bigint, tokens int"
+_UNIT = f"{_ITEM}, bundle string"
 
 
 @cache
@@ -124,47 +133,94 @@ def _layout(histogram: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np
 
 def _measure(capacities: list[int], path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        seen: dict[tuple[int, int], int] = {}
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(5)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n = token_count(text, path)
                 for cap in capacities:
                     full, rest = divmod(n, cap)
                     for p in range(full + (rest > 0 or n == 0)):
-                        size = cap if p < full else rest
-                        cls = -(-size * CLASSES // cap) if p == full else 0
-                        seq = seen[cap, cls] = seen.get((cap, cls), -1) + 1
-                        for c, x in zip(cols, (cap, doc, p, p * cap, size, cls, part, seq)):
+                        for c, x in zip(cols, (cap, doc, p, p * cap, cap if p < full else rest)):
                             c.append(x)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _ITEM.split(", ")])
 
     return run
 
 
-def _placed(layouts: dict[int, dict]):
-    """Container of each item by its number within its class; null where it is left over."""
+def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in names]
+
+
+def _numbered(lengths: dict[int, int]):
+    """Units with their class under their capacity's length at this level, task, and number within class and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        seen = {c: np.zeros(CLASSES + 1, "i8") for c in lengths}
+        for b in batches:
+            cap, tokens = _columns(b, "capacity", "tokens")
+            cls, seq = np.zeros(b.num_rows, "i4"), np.zeros(b.num_rows, "i8")
+            for c, length in lengths.items():
+                at = np.flatnonzero(cap == c)
+                k = -(-tokens[at].astype("i8") * CLASSES // length)
+                o = np.argsort(k, kind="stable")
+                n = np.bincount(k, minlength=CLASSES + 1)
+                cls[at] = k
+                seq[at[o]] = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + seen[c][k[o]]
+                seen[c] += n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls), pa.array(np.full(b.num_rows, part, "i4")), pa.array(seq)], names=[*b.schema.names, "cls", "part", "seq"])
+
+    return run
+
+
+def _placed(layouts: dict[int, dict], mark: str):
+    """Container of each unit by its number within its class; null where it is left over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _UNIT.split(", ")]
         for b in batches:
-            cap, cls, rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("capacity", "cls", "rank"))
+            cap, cls, rank = _columns(b, "capacity", "cls", "rank")
             where = np.full(b.num_rows, None, object)
             for c, layout in layouts.items():
                 for k, (starts, use, per) in layout.items():
                     at = np.flatnonzero((cap == c) & (cls == k) & (rank < starts[-1]))
                     j = np.searchsorted(starts, rank[at], "right") - 1
                     copy = (rank[at] - starts[j]) // per[j]
-                    where[at] = [f"p{p}-{x}" for p, x in zip(use[j], copy)]
-            keep = [b.column(b.schema.get_field_index(x)) for x in ("capacity", "doc_id", "piece_no", "start_token", "tokens", "cls")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(where, pa.string())], names=["capacity", "doc_id", "piece_no", "start_token", "tokens", "cls", "container_id"])
+                    where[at] = [f"{mark}{p}-{x}" for p, x in zip(use[j], copy)]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in names), pa.array(where, pa.string())], names=[*names, "container_id"])
 
     return run
 
 
+def _fit(units: DataFrame, lengths: dict[int, int], mark: str) -> DataFrame:
+    """Units of one level with the container that the patterns give them, or null."""
+    numbered = stored(units.mapInArrow(_numbered(lengths), f"{_UNIT}, cls int, part int, seq bigint"), "units")
+    counts = numbered.where(F.col("cls") >= SHORTEST).groupBy("capacity", "cls", "part").agg(F.count("*").alias("n"))
+    counts = stored(counts.withColumn("before", F.sum("n").over(Window.partitionBy("capacity", "cls").orderBy("part")) - F.col("n")), "counts")
+    hist = {c: np.zeros(CLASSES + 1, "i8") for c in lengths}
+    for r in counts.groupBy("capacity", "cls").agg(F.sum("n").alias("n")).collect():  # a row per class
+        hist[r.capacity][r.cls] = r.n
+    layouts = {c: _layout(h) for c, h in hist.items()}
+    ranked = join_measured(numbered, counts.select("capacity", "cls", "part", "before"), ["capacity", "cls", "part"], "left")
+    ranked = ranked.withColumn("rank", F.col("seq") + F.coalesce("before", F.lit(2**62)))
+    return stored(ranked.mapInArrow(_placed(layouts, mark), f"{_UNIT}, container_id string"), "placed")
+
+
+def depth_of(capacity: int, mean: float) -> int:
+    """Levels below the container: as many quarterings as it takes until MOST texts of mean length fill one."""
+    depth = 0
+    while mean > 0 and capacity / 4**depth / mean > MOST:
+        depth += 1
+    return depth
+
+
+def _length(capacity: int, level: int) -> int:
+    return capacity if level == 0 else max(1, int(capacity / 4**level * BUNDLE))
+
+
 def best_fit(sizes: list[int], rooms: list[int], capacity: int) -> list[int]:
     """Container of each size, the sizes taken longest first: an open one with the least room that holds it, or a new
     one; rooms are the open ones', new ones are numbered after them."""
@@ -185,14 +241,13 @@ def best_fit(sizes: list[int], rooms: list[int], capacity: int) -> list[int]:
 
 def _fill(table: pa.Table) -> pa.Table:
     """One group's open containers (doc_id null, tokens = their room) and leftover items, to places of the items."""
-    rows = table.to_pylist()
-    open_, items = [r for r in rows if r["doc_id"] is None], [r for r in rows if r["doc_id"] is not None]
-    items.sort(key=lambda r: (-r["tokens"], r["doc_id"], r["piece_no"]))
-    open_.sort(key=lambda r: (r["tokens"], r["container_id"]))
-    got = best_fit([r["tokens"] for r in items], [r["tokens"] for r in open_], rows[0]["capacity"])
-    for r, i in zip(items, got):
-        r["container_id"] = open_[i]["container_id"] if i < len(open_) else f"r{r['grp']}-{i - len(open_)}"
-    return pa.Table.from_pylist(items, schema=table.schema)
+    table = table.combine_chunks()
+    capacity, grp = table["capacity"][0].as_py(), table["grp"][0].as_py()
+    is_open = table["doc_id"].is_null().to_numpy()
+    open_, items = table.filter(pa.array(is_open)).sort_by([("tokens", "ascending"), ("container_id", "ascending")]), table.filter(pa.array(~is_open)).sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("piece_no", "ascending")])
+    got = np.array(best_fit(items["tokens"].to_pylist(), open_["tokens"].to_pylist(), capacity), "i8")
+    names = np.array([*open_["container_id"].to_pylist(), *(f"r{grp}-{i}" for i in range(int(got.max(initial=-1)) + 1 - len(open_)))], object)
+    return items.set_column(table.schema.get_field_index("container_id"), "container_id", pa.array(names[got] if len(got) else [], pa.string()))
 
 
 def pack(documents: DataFrame, bins: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
@@ -208,20 +263,37 @@ def pack(documents: DataFrame, bins: DataFrame, tokenizer_dir: str = TOKENIZER_D
     path = os.path.join(tokenizer_dir, VOCABULARY)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     items = stored(docs.mapInArrow(_measure(capacities, path), _ITEM), "items")
-    counts = items.where(F.col("cls") >= SHORTEST).groupBy("capacity", "cls", "part").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("capacity", "cls").orderBy("part")) - F.col("n"))
-    counts = stored(counts, "counts")
-    hist = {c: np.zeros(CLASSES + 1, "i8") for c in capacities}
-    for r in counts.groupBy("capacity", "cls").agg(F.sum("n").alias("n")).collect():
-        hist[r.capacity][r.cls] = r.n
-    layouts = {c: _layout(h) for c, h in hist.items()}
-    ranked = join_measured(items, counts.select("capacity", "cls", "part", "before"), ["capacity", "cls", "part"], "left")
-    ranked = ranked.withColumn("rank", F.col("seq") + F.coalesce("before", F.lit(2**62)))
-    schema = "capacity int, doc_id bigint, piece_no int, start_token bigint, tokens int, cls int, container_id string"
-    placed = stored(ranked.mapInArrow(_placed(layouts), schema), "placed")
-    whole = placed.where("cls = 0").withColumn("container_id", F.when(F.col("tokens") == 0, "none").otherwise(F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string"))))
-    fitted = placed.where("container_id is not null")
-    left = placed.where("container_id is null and cls > 0")
+    part = (F.col("tokens") > 0) & (F.col("tokens") < F.col("capacity"))
+    means = {r.capacity: r.mean for r in items.where(part).groupBy("capacity").agg(F.avg("tokens").alias("mean")).collect()}  # a row per capacity
+    depth = {c: depth_of(c, means.get(c, 0.0)) for c in capacities}
+    level = F.lit(0)
+    for c, d in depth.items():
+        for j in range(1, d + 1):
+            level = F.when((F.col("capacity") == c) & (F.col("tokens") <= _length(c, j)), j).otherwise(level)
+    lowest = F.coalesce(*(F.when(F.col("capacity") == c, F.lit(d)) for c, d in depth.items()), F.lit(0))
+    kept = (level == lowest) & (level > 0) & (F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(RESERVE)) == 0)
+    cols = ["capacity", "doc_id", "piece_no", "start_token", "tokens"]
+    leveled = items.where(part).withColumn("level", F.when(kept, -1).otherwise(level))
+    unplaced = [leveled.where("level = -1").select(*cols)]
+    fitted, bundles = None, None
+    for j in range(max(depth.values(), default=0), -1, -1):
+        units = leveled.where(F.col("level") == j).select(*cols, F.lit(None).cast("string").alias("bundle"))
+        if bundles is not None:
+            units = units.unionByName(bundles)
+        placed = _fit(units, {c: _length(c, j) for c in capacities if depth[c] >= j}, f"{j}p" if j else "p")
+        own = placed.where("bundle is null")
+        unplaced.append(own.where("container_id is null").select(*cols))
+        now = own.where("container_id is not null").select(*cols, "container_id")
+        if fitted is not None:
+            up = placed.where("bundle is not null").select("capacity", F.col("bundle").alias("container_id"), F.col("container_id").alias("up"))
+            moved = stored(fitted.join(up, ["capacity", "container_id"]), "moved")
+            unplaced.append(moved.where("up is null").select(*cols))
+            now = now.unionByName(moved.where("up is not null").select(*cols, F.col("up").alias("container_id")))
+        fitted = now
+        whole_bundles = fitted.groupBy("capacity", F.col("container_id").alias("bundle")).agg(F.sum("tokens").cast("int").alias("tokens"))
+        bundles = whole_bundles.select("capacity", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("piece_no", "int"), ("start_token", "bigint"))), "tokens", "bundle")
+    left = reduce(DataFrame.unionByName, unplaced)
+    whole = items.where(~part).withColumn("container_id", F.when(F.col("tokens") == 0, "none").otherwise(F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string"))))
     rooms = fitted.groupBy("capacity", "container_id").agg((F.first("capacity") - F.sum("tokens")).cast("int").alias("tokens")).where("tokens > 0")
     rooms = stored(rooms, "rooms")
     rows = left.select("capacity").unionByName(rooms.select("capacity")).groupBy("capacity").agg(F.count("*").alias("n")).collect()  # a row per capacity
@@ -236,3 +308,14 @@ def pack(documents: DataFrame, bins: DataFrame, tokenizer_dir: str = TOKENIZER_D
     cols = ["capacity", "container_id", "doc_id", "piece_no", "start_token", "tokens"]
     out = whole.select(*cols).unionByName(fitted.select(*cols)).unionByName(filled.select(*cols))
     return out.join(F.broadcast(kinds) if len(capacities) < 1000 else kinds, "capacity").select("bin_kind", F.col("capacity").alias("capacity_tokens"), *cols[1:])
+
+
+def fill_report(packed: DataFrame) -> DataFrame:
+    """bin_kind, texts, containers, tokens, fill, and the share of texts shorter than the capacity that stand in containers
+    which patterns began."""
+    real = packed.where("container_id <> 'none'")
+    short = F.col("tokens") < F.col("capacity_tokens")
+    g = real.groupBy("bin_kind", "capacity_tokens", "container_id").agg(F.count("*").alias("texts"), F.count_if(short).alias("short"), F.sum("tokens").alias("tokens"))
+    begun = F.col("container_id").startswith("p")
+    out = g.groupBy("bin_kind", "capacity_tokens").agg(F.sum("texts").alias("texts"), F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum(F.when(begun, F.col("short")).otherwise(0)) / F.sum("short")).alias("in_patterns"))
+    return out.select("bin_kind", "texts", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"), F.round("in_patterns", 6).alias("in_pattern_containers"))

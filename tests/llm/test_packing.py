@@ -92,3 +92,17 @@ def test_plans_never_use_more_texts_than_there_are(seed):
 def test_best_fit():
     assert P.best_fit([3, 9, 4], [5, 4], 10) == [0, 2, 1]
     assert P.best_fit([], [5], 10) == []
+
+
+def test_levels_follow_the_mean_length():
+    assert [P.depth_of(c, 311) for c in (512, 2048, 8192)] == [0, 1, 2] and P.depth_of(512, 0.0) == 0
+    assert [P._length(8192, j) for j in range(3)] == [8192, int(2048 * P.BUNDLE), int(512 * P.BUNDLE)]
+
+
+def test_patterns_carry_containers_of_many_short_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [(i, "word " * int(n)) for i, n in enumerate(rng.integers(30, 200, 3000))]
+    got = pack(spark, texts, [("long", 4096)])
+    check(got, texts)
+    [r] = P.fill_report(spark.createDataFrame(got)).collect()
+    assert r.fill > 0.99 and r.in_pattern_containers > 0.5
