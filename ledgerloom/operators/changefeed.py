@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import identifier, read_object, scalar_text
-from ledgerloom.session import join_measured, new_path, partitions_for, publish, published, stored
+from ledgerloom.session import join_measured, known_size, new_path, partitions_for, publish, published, stored
 
 #: Changes per bucket that the number of buckets is chosen for.
 ROWS_PER_BUCKET = 1_000_000
-#: Memory of a bucket's DuckDB.
+#: Stored bytes of changes per bucket likewise, for wide values; and the memory of a bucket's DuckDB, many times that.
+BYTES_PER_BUCKET = 16 << 20
 BUCKET_MEMORY = "400MB"
 #: Sequence of state that precedes every change.
 BASE = -(2**63)
@@ -93,7 +94,8 @@ def apply_changes(changes: DataFrame, keys: list[str], rows: int, root: str | No
     schema = ", ".join([*(f"{k} string" for k in keys), "seq bigint", "dead boolean", "val string"])
     clean = changes.select(*keys, "seq", "dead", "val").dropna(subset=[*keys, "seq", "dead"])
     combined = clean.mapInArrow(combine_batches(keys), schema)
-    buckets = combined.repartition(partitions_for(rows, ROWS_PER_BUCKET, spark), *keys)
+    n = max(partitions_for(rows, ROWS_PER_BUCKET, spark), (known_size(changes) or 0) // BYTES_PER_BUCKET)
+    buckets = combined.repartition(n, *keys)
     root = root or new_path(spark, "state")
     publish(buckets.mapInArrow(upsert_bucket(keys), schema), root)
     return published(spark, root)

@@ -38,8 +38,15 @@ def registry(keys: DataFrame) -> DataFrame:
 
 
 def masks(items: DataFrame, bits: DataFrame) -> DataFrame:
-    """owner, mask: the or of the bits of an owner's keys; bits beyond 62 aren't allowed in a bigint."""
-    return items.join(bits, "key").groupBy("owner").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask"))
+    """owner, mask: the or of the bits of an owner's keys; a bit that a bigint can't hold as a positive number is an error."""
+    fits = F.when(F.col("bit").between(0, 62), F.col("bit").cast("int")).otherwise(F.raise_error(F.concat(F.lit("bit beyond 62: "), F.col("bit").cast("string"))).cast("int"))
+    return items.join(bits.select("key", fits.alias("bit")), "key").groupBy("owner").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+
+
+def wide_masks(items: DataFrame, bits: DataFrame) -> DataFrame:
+    """owner, word, mask: as masks for any number of keys, in words of 62 bits."""
+    words = bits.select("key", F.floor(F.col("bit") / 62).cast("bigint").alias("word"), F.pmod("bit", F.lit(62)).cast("int").alias("b"))
+    return items.join(words, "key").groupBy("owner", "word").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("mask"))
 
 
 def primes(n: int) -> list[int]:

@@ -91,6 +91,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return names.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

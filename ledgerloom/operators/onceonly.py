@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import identifier
-from ledgerloom.session import ROW_OVERHEAD, _hadoop, new_path, stored_with
+from ledgerloom.session import ROW_OVERHEAD, _hadoop, known_size, new_path, stored_with
 
 #: Runs in a task's memory before they are merged, and stored runs before the index is rewritten as one.
 MAX_RUNS = 8
@@ -38,8 +38,6 @@ _ROW = "slot int, kind int, h1 bigint, h2 bigint, at bigint, delivery_id bigint,
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 _LAST = 2**63 - 1
-#: What the planner says of rows whose size it doesn't know is beyond this.
-_UNKNOWN = 1 << 60
 
 
 def _firsts(h1: np.ndarray, h2: np.ndarray, order: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +204,8 @@ class IdentifierIndex:
     def _bits(self, rows: DataFrame | None = None) -> tuple[int, int]:
         """Tasks for the index and the rows, and bits of their prefixes; by sizes of files, and by a count only where
         the rows don't come from files."""
-        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if rows is not None else 0
-        if size >= _UNKNOWN:
+        size = known_size(rows) if rows is not None else 0
+        if size is None:
             size = ROW_OVERHEAD * rows.count()
         for run in self.runs:
             p, fs = _hadoop(self.spark, run)

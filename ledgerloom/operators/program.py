@@ -80,6 +80,8 @@ def propagate_bundles(groups: DataFrame, bound: DataFrame, opaque: tuple[str, ..
         if m == n:
             break
         n = m
+    else:
+        raise RuntimeError(f"bundles did not settle in {MAX_ROUNDS} rounds")
     key = lambda c: F.concat_ws("#", "fn", F.col(c))
     c = components(links.select(key("a").alias("src"), key("b").alias("dst")))
     return c.select(F.substring_index("node", "#", 1).alias("fn"), F.substring_index("node", "#", -1).alias("param"), F.col("component").alias("bundle_id"))

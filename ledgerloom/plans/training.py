@@ -26,8 +26,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "archive_files")
-    return schemadrift.unified(files, schemadrift.file_changes(files))
+    return schemadrift.unified(table(spark, d, "archive_files"))
 
 
 def p4_event_envelope(spark: SparkSession, d: str) -> DataFrame:

@@ -166,6 +166,12 @@ def join_measured(big: DataFrame, small: DataFrame, on, how: str = "inner", limi
     return big.join(F.broadcast(kept) if fits else kept.hint("merge"), on, how)
 
 
+def known_size(df: DataFrame) -> int | None:
+    """The planner's estimate of df's bytes, or None where it knows nothing of its source; runs no job."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 def partitions_for(rows: int, per_partition: int, spark: SparkSession) -> int:
     """Enough partitions for the rows, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition), 1)

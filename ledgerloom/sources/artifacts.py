@@ -43,14 +43,22 @@ def report(sections: list[tuple[str, list[str]]], title: str, spec: Spec | None
     return "\n".join(out) + "\n"
 
 
+def _edges(edges: DataFrame, limit: int) -> tuple[list, int]:
+    """The first edges by name, and how many more there are."""
+    every = edges.select("src", "dst").dropna().distinct()
+    return every.orderBy("src", "dst").limit(limit).collect(), max(0, every.count() - limit)
+
+
 def dot(edges: DataFrame, limit: int = 2000) -> str:
-    """Graphviz text of the first edges by name; a picture of more would be of no use."""
-    rows = edges.select("src", "dst").distinct().orderBy("src", "dst").limit(limit).collect()
-    return "digraph {\n" + "".join(f'  "{r.src}" -> "{r.dst}";\n' for r in rows) + "}\n"
+    """Graphviz text of the first edges by name; a comment says how many are left out of the picture."""
+    rows, more = _edges(edges, limit)
+    rest = [f"  // ... {more} more edges\n"] if more else []
+    return "digraph {\n" + "".join([*(f'  "{r.src}" -> "{r.dst}";\n' for r in rows), *rest]) + "}\n"
 
 
 def mermaid(edges: DataFrame, limit: int = 2000) -> str:
-    """Mermaid text of the first edges by name."""
-    rows = edges.select("src", "dst").distinct().orderBy("src", "dst").limit(limit).collect()
+    """Mermaid text of the first edges by name; a comment says how many are left out of the picture."""
+    rows, more = _edges(edges, limit)
     names = {n: f"n{i}" for i, n in enumerate(sorted({x for r in rows for x in (r.src, r.dst)}))}
-    return "graph TD\n" + "".join(f'  {i}["{n}"]\n' for n, i in names.items()) + "".join(f"  {names[r.src]} --> {names[r.dst]}\n" for r in rows)
+    rest = f"  %% ... {more} more edges\n" if more else ""
+    return "graph TD\n" + "".join(f'  {i}["{n}"]\n' for n, i in names.items()) + "".join(f"  {names[r.src]} --> {names[r.dst]}\n" for r in rows) + rest

@@ -226,3 +226,26 @@ def test_numbers_are_dense_and_in_order(spark):
     rows = numbered(df, ["name"], "no").orderBy("name").collect()
     assert [r.no for r in rows] == list(range(1000))
     assert numbered(df.limit(0), ["name"], "no").count() == 0
+
+
+def test_an_unfinished_fixpoint_is_an_error(spark, monkeypatch):
+    from ledgerloom.operators import program
+
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)], "src string, dst string")
+    monkeypatch.setattr(graphs, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        graphs.components(chain)
+    monkeypatch.setattr(program, "MAX_ROUNDS", 0)
+    groups = spark.createDataFrame([("f", ["a", "b"])], "fn string, bundle array<string>")
+    bound = spark.createDataFrame([("g", "x", "f", "a"), ("g", "y", "f", "b")], "caller string, caller_param string, callee string, callee_param string")
+    with pytest.raises(RuntimeError):
+        program.propagate_bundles(groups, bound)
+
+
+def test_mask_bits_that_do_not_fit_are_an_error(spark):
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "owner int, key string")
+    bits = spark.createDataFrame([("a", 0), ("b", 64)], "key string, bit bigint")
+    with pytest.raises(Exception, match="bit beyond 62"):
+        fingerprints.masks(items, bits).collect()
+    got = {(r.owner, r.word, r["mask"]) for r in fingerprints.wide_masks(items, bits).collect()}
+    assert got == {(1, 0, 1), (1, 1, 4), (2, 0, 1)}

@@ -66,3 +66,26 @@ def test_one_table(spark):
     wide = S.wide_table(long, "f")
     assert dict(wide.dtypes)["n"] == "double"
     assert {tuple(r) for r in wide.collect()} == {(1, 0, "v", 5.0, "1"), (1, 1, "w", 6.0, "2"), (2, 0, "w", 6.5, "2")}
+
+
+def test_flooding_decides_between_fields_whose_values_tie(monkeypatch):
+    a = S.Profile(body({"record_key": "1", "m": {"v": "x", "size": 3}, "n": {"v": "x", "hue": "red"}}))
+    b = S.Profile(body({"record_key": "1", "q": {"v": "x", "size": 4}, "p": {"v": "x", "hue": "blue"}}))
+    want = {("m.v", "q.v"), ("n.v", "p.v")}
+    assert {c for c in S.changes_between(a, b) if all(c)} == want
+    monkeypatch.setattr(S, "flood", lambda a, b, start: dict.fromkeys(((x, y) for x in a.fields for y in b.fields), 0.0))
+    assert {c for c in S.changes_between(a, b) if all(c)} != want
+
+
+def test_one_file_delivered_twice_is_read_once(spark):
+    a = body({"record_key": "1", "n": 10**20, "label": "v"})
+    f = files(spark, [(1, "f", "p", 0, a), (2, "f", "p", 0, a), (3, None, "p", 0, a)])
+    long = S.unified(f)
+    assert {(r.family, r.file_id) for r in long.collect()} == {("f", 1), (None, 3)}
+    assert {r.n for r in S.wide_table(long, "f").collect()} == {str(10**20)}
+
+
+def test_names_that_occur_together_stay_apart(spark):
+    f = files(spark, [(1, "f", "p", 0, body({"record_key": "1", "a": "v"})), (2, "f", "p", 1, body({"record_key": "1", "b": "v"})), (3, "f", "p", 2, body({"record_key": "1", "c": "v"})), (4, "f", "q", 0, body({"record_key": "1", "a": "v", "c": "w"}))])
+    got = {(r.file_id, r.field) for r in S.unified(f).collect()} - {(i, "record_key") for i in range(5)}
+    assert (4, "a") in got and (4, "c") in got and len({x for i, x in got if i < 4}) == 2

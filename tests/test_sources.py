@@ -100,6 +100,7 @@ def test_artifacts(spark):
     assert got["count"] == 2 and json.loads(got.generated_by_spec_id)["name"] == "ambiguity_baseline"
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert artifacts.dot(e).count("->") == 2 and artifacts.mermaid(e).count("-->") == 2
+    assert "... 1 more edges" in artifacts.dot(e, 1) and "... 1 more edges" in artifacts.mermaid(e, 1) and "more" not in artifacts.dot(e)
     assert artifacts.report([("S", ["x"])], "T").endswith("## S\nx\n")
     archive = new_path(spark, "archive")
     artifacts.write_archive({"events": df}, archive)
