@@ -83,10 +83,11 @@ def upsert_bucket(keys: list[str]):
     return run
 
 
-def apply_changes(changes: DataFrame, keys: list[str], rows: int, root: str | None = None) -> DataFrame:
+def apply_changes(changes: DataFrame, keys: list[str], rows: int, root: str | None = None, size: int = 0) -> DataFrame:
     """Final row of every key from changes (keys as strings, seq bigint, dead boolean, val string), tombstones included.
 
-    rows: an upper bound of the number of changes, for the number of buckets. Rows with a null key or sequence are
+    rows: an upper bound of the number of changes, for the number of buckets; size: bytes of the files that wide values
+    come from, for the same. Rows with a null key or sequence are
     ignored; repeated changes have no effect; of equal sequences a delete wins, then the greatest value. An empty feed
     gives an empty state. The result is published below root (a folder of this application if None) in one step.
     """
@@ -94,7 +95,7 @@ def apply_changes(changes: DataFrame, keys: list[str], rows: int, root: str | No
     schema = ", ".join([*(f"{k} string" for k in keys), "seq bigint", "dead boolean", "val string"])
     clean = changes.select(*keys, "seq", "dead", "val").dropna(subset=[*keys, "seq", "dead"])
     combined = clean.mapInArrow(combine_batches(keys), schema)
-    n = max(partitions_for(rows, ROWS_PER_BUCKET, spark), (known_size(changes) or 0) // BYTES_PER_BUCKET)
+    n = max(partitions_for(rows, ROWS_PER_BUCKET, spark), size // BYTES_PER_BUCKET)
     buckets = combined.repartition(n, *keys)
     root = root or new_path(spark, "state")
     publish(buckets.mapInArrow(upsert_bucket(keys), schema), root)
@@ -180,6 +181,7 @@ def replay(envelopes: DataFrame, snapshots: DataFrame, markers: DataFrame, value
     rows = join_measured(states.select("id", "state_json"), best.select("id", "run_id"), "id")
     base = rows.select("id", "state_json").mapInArrow(_snapshot_rows(True, values), "id bigint, state_key string, val string")
     base = join_measured(base, best.select("id", "run_id"), "id").select("run_id", "state_key", F.lit(BASE).alias("seq"), F.lit(False).alias("dead"), "val")
-    state = apply_changes(changes.unionByName(base), ["run_id", "state_key"], envelopes.count(), root).where("not dead")
+    size = (known_size(envelopes) or 0) + (known_size(snapshots) or 0) if values else 0
+    state = apply_changes(changes.unionByName(base), ["run_id", "state_key"], envelopes.count(), root, size).where("not dead")
     out = state.select("run_id", "state_key", F.when(F.col("seq") == BASE, 0).otherwise(F.col("seq")).cast("bigint").alias("sequence"), "val")
     return out.withColumnRenamed("val", "value_json") if values else out.drop("val")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import identifier
-from ledgerloom.session import ROW_OVERHEAD, _hadoop, known_size, new_path, stored_with
+from ledgerloom.session import ROW_OVERHEAD, _hadoop, known_size, new_path, stored, stored_with
 
 #: Runs in a task's memory before they are merged, and stored runs before the index is rewritten as one.
 MAX_RUNS = 8
@@ -220,7 +220,7 @@ class IdentifierIndex:
         id; a copy of an identifier admitted before never stays. Null ids are not accepted as deliveries. A batch_id
         that was admitted before gives the surplus found then, and changes nothing.
         """
-        return self.admit_rows(candidates(deliveries, parts, received, delivery_id), batch_id)
+        return self.admit_rows(stored(candidates(deliveries, parts, received, delivery_id), "candidates"), batch_id)
 
     def admit_rows(self, rows: DataFrame, batch_id: str | None = None) -> DataFrame:
         """As admit, of rows that candidates() made."""

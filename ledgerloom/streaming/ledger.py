@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import identifier
 from ledgerloom.operators.changefeed import apply_changes, combine_batches
 from ledgerloom.operators.onceonly import IdentifierIndex
-from ledgerloom.session import _hadoop, new_path, published
+from ledgerloom.session import _hadoop, known_size, new_path, published
 
 
 def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -77,14 +77,14 @@ class LedgerState:
         """Makes base and batches the new base; the batches go only after it is published."""
         batches = self._batches()
         known = self._known(batches)
-        apply_changes(known, self.keys, known.count(), self.root)
+        apply_changes(known, self.keys, known.count(), self.root, known_size(known) or 0)
         for b in batches:
             p, fs = _hadoop(self.spark, b)
             fs.delete(p, True)
 
     def current(self) -> DataFrame:
         known = self._known(self._batches())
-        return apply_changes(known, self.keys, known.count()).where("not dead").drop("dead")
+        return apply_changes(known, self.keys, known.count(), size=known_size(known) or 0).where("not dead").drop("dead")
 
     def follow(self, stream: DataFrame, checkpoint: str | None = None):
         """Starts the stream; awaitTermination() or stop() as usual."""
