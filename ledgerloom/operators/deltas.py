@@ -48,3 +48,42 @@ def penalty_score(counts: DataFrame, group: list[str], weight: str, count: str)
     loss = F.when(F.col(count) > 0, F.col(weight) * (1 + F.floor(F.log10(F.col(count).cast("double"))))).otherwise(0)
     g = counts.groupBy(*group).agg(F.greatest(F.lit(0.0), 100 - F.sum(loss)).cast("double").alias("score"))
     return g.withColumn("band", F.when(F.col("score") >= 95, "strong").when(F.col("score") >= 80, "good").when(F.col("score") >= 60, "fair").otherwise("weak"))
+
+
+def set_diff(baseline: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, change_kind: members that only one of two sets has, added or removed. One shuffle; repeats count once."""
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_s"))
+    g = side(baseline, 1).unionByName(side(current, 2)).groupBy(*keys).agg(F.bit_or("_s").alias("_s"))
+    return g.where("_s <> 3").select(*keys, F.when(F.col("_s") == 2, "added").otherwise("removed").alias("change_kind"))
+
+
+def extinct(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of the sections that were there before and are no more."""
+    return set_diff(previous, current, keys).where("change_kind = 'removed'").select(*keys)
+
+
+def losses(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, before, after where a value fell; a key without a later value is unchanged."""
+    a, b = before.select(*keys, F.col(value).alias("before")), after.select(*keys, F.col(value).alias("after"))
+    return a.join(b, keys).where(F.col("after") < F.col("before"))
+
+
+def regressions(baseline: DataFrame, current: DataFrame, keys: list[str], value: str, allowed: float = 0.0) -> DataFrame:
+    """keys, baseline, current, delta where a metric rose by more than allowed; a metric without a baseline starts from 0."""
+    a, b = baseline.select(*keys, F.col(value).alias("baseline")), current.select(*keys, F.col(value).alias("current"))
+    j = b.join(a, keys, "left").withColumn("baseline", F.coalesce("baseline", F.lit(0)))
+    return j.withColumn("delta", F.col("current") - F.col("baseline")).where(F.col("delta") > allowed).select(*keys, "baseline", "current", "delta")
+
+
+def state(rows: DataFrame, keys: list[str], status: str) -> DataFrame:
+    """keys, status, n: a state's witness rows normalised (blank status = unknown, repeats counted)."""
+    named = F.coalesce(F.nullif(F.trim(status), F.lit("")), F.lit("unknown"))
+    return rows.groupBy(*keys, named.alias("status")).agg(F.count("*").alias("n"))
+
+
+def truncated(df: DataFrame, order: list, text: Column, k: int) -> DataFrame:
+    """place, line: the first k lines by order, and '... n more' if there are more; k is the feature."""
+    first = df.select(*[c for c in df.columns], text.alias("_line")).orderBy(*order).limit(k)
+    lines = first.agg(F.collect_list("_line").alias("l")).select(F.posexplode("l").alias("place", "line"))
+    more = df.agg((F.count("*") - k).alias("n")).where("n > 0").select(F.lit(k).alias("place"), F.format_string("... %d more", "n").alias("line"))
+    return lines.unionByName(more)

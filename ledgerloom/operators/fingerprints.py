@@ -68,3 +68,41 @@ def factor(product: int, registered: list[int]) -> tuple[dict[int, int], int]:
             found[p] = found.get(p, 0) + 1
             product //= p
     return found, product
+
+
+def dimensions(hints: DataFrame, key: str, hint: str) -> DataFrame:
+    """key, dimension (base or ctor), atom, exponent of type hints: leaf types and constructors as multisets of their own."""
+    from ledgerloom.functions.keys import atoms
+
+    a = hints.select(key, atoms(hint).alias("a"))
+    rows = a.select(key, F.lit("base").alias("dimension"), F.explode("a.base").alias("atom")).unionByName(a.select(key, F.lit("ctor").alias("dimension"), F.explode("a.ctor").alias("atom")))
+    return rows.groupBy(key, "dimension", "atom").agg(F.count("*").alias("exponent"))
+
+
+def glossary_matches(bundles: DataFrame, glossary: DataFrame) -> DataFrame:
+    """owner, names, kind of bundles (owner, key) against named sets (name, key): how many names have a bundle's very set.
+
+    kind is match for one name, ambiguous for several (a coherence witness), warning for none. Both sides meet by the
+    digest of the set and by the number of its names, so a set that everyone has makes no pairs.
+    """
+    from ledgerloom.operators.sets import signatures
+
+    own = signatures(bundles.select("owner", F.col("key").alias("element")))
+    named = signatures(glossary.select(F.col("name").alias("owner"), F.col("key").alias("element"))).groupBy("set_id").agg(F.count("*").alias("names"))
+    j = own.join(named, "set_id", "left").select("owner", F.coalesce("names", F.lit(0)).alias("names"))
+    return j.withColumn("kind", F.when(F.col("names") == 0, "warning").when(F.col("names") == 1, "match").otherwise("ambiguous"))
+
+
+def recurring(bundles: DataFrame, least: int) -> DataFrame:
+    """members, first_owner, owners: sets that at least so many owners have, candidates for a registered name of their own."""
+    from ledgerloom.operators.sets import signatures
+
+    s = signatures(bundles.select("owner", F.col("key").alias("element")))
+    g = s.groupBy("set_id", F.col("n").alias("members")).agg(F.min("owner").alias("first_owner"), F.count("*").alias("owners"))
+    return g.where(F.col("owners") >= least).drop("set_id")
+
+
+def sound(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, sound: multisets (key, exponent) whose masks are disjoint share no factor, and those that share one aren't."""
+    g = algebra(a, b).agg(F.coalesce(F.max("gcd"), F.lit(0)).alias("g"), F.count_if(F.col("lcm") > F.col("symdiff")).alias("common"))
+    return g.select(((F.col("g") == 0) == (F.col("common") == 0)).alias("sound"))

@@ -292,15 +292,9 @@ def _near_errors(entries, keys):
     return joins.point_join(e.where("severity = 'info'").drop("severity"), spans, keys, 50).select(*keys, F.col("at").alias("line"), "error_line")
 
 
-@query
-def join_point_in_span(spark, d):
-    """Lint entries inside the line spans of impact sites: entries of a scope within 5 lines of an error; first snapshots, as in SQL."""
-    return _near_errors(table(spark, d, "lint_entries").where("snapshot_no = 1"), ["scope_id", "path"])
-
-
 @query
 def join_point_in_span_all(spark, d):
-    """As join_point_in_span, within each of all snapshots."""
+    """Info entries within 5 lines of an error of their path, within each snapshot."""
     return _near_errors(table(spark, d, "lint_entries"), ["scope_id", "snapshot_no", "path"])
 
 
@@ -400,12 +394,6 @@ def ledger_fold(spark, d):
     return ledger.fold(e, ["user_id"], "event_id", op, F.col("value"))
 
 
-@query
-def ledger_tail(spark, d):
-    e = table(spark, d, "events")
-    return ledger.committed(e, "event_id", F.lit(100), F.lit(900)).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @query
 def ledger_tail_runs(spark, d):
     """Deliveries by run and kind of change, each run after its own snapshot and up to its own committed sequence."""
@@ -484,15 +472,9 @@ def _numbered_edges(e):
     return numbered.select(F.col("src_no").cast("bigint").alias("src_no"), F.col("dst_no").cast("bigint").alias("dst_no"))
 
 
-@query
-def graph_signature(spark, d):
-    """Edges between regions and nations by dense numbers of their ends, as in SQL."""
-    return _numbered_edges(_geo(spark, d).where("src like 'r%'"))
-
-
 @query
 def graph_signature_all(spark, d):
-    """As graph_signature, with the customers."""
+    """Edges between regions, nations and customers by dense numbers of their ends."""
     return _numbered_edges(_geo(spark, d))
 
 
@@ -560,13 +542,6 @@ def scalar_durations(spark, d):
     return e.select("event_id", scalars.duration_ns("t").alias("ns"))
 
 
-@query
-def scalar_canonical_json(spark, d):
-    """Payloads written as objects in canonical form, of which the key comes out, as in SQL."""
-    e = table(spark, d, "event_envelopes").where("payload_json like '{%'").select("delivery_id", scalars.canonical_text("payload_json").alias("c"))
-    return e.where("c is not null").select("delivery_id", F.get_json_object("c", "$.key").alias("state_key"))
-
-
 @query
 def scalar_canonical_objects(spark, d):
     """All readable payloads in canonical form."""
@@ -609,15 +584,9 @@ def _lint_lines(entries):
     return lines_of.lint_lines(e, "t").groupBy("code").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
-@query
-def text_lint_lines(spark, d):
-    """Lint entries written as lines and read again; first snapshots, as in SQL."""
-    return _lint_lines(table(spark, d, "lint_entries").where("snapshot_no = 1"))
-
-
 @query
 def text_lint_lines_all(spark, d):
-    """As text_lint_lines, of all snapshots."""
+    """Lint entries of all snapshots written as lines and read again."""
     return _lint_lines(table(spark, d, "lint_entries"))
 
 

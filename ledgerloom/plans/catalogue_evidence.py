@@ -571,64 +571,118 @@ def test_merge():
 }
 
 
+def _pinned(columns: str, rows: str) -> str:
+    """SQL of fixed rows, one a line, with values between bars."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(v.strip() for v in r.split('|')) + ')' for r in rows.strip().splitlines())}) v({columns})"
+
+
 def _facts(spark):
     from ledgerloom.sources import python_code
 
     return python_code.scan(spark.createDataFrame(sorted(SAMPLE.items()), "path string, source string"))
 
 
-@query()
+@query(_pinned("path, kind, n", """
+'app/core.py' | 'call' | 3::BIGINT
+'app/core.py' | 'decision' | 1
+'app/core.py' | 'function' | 4
+'app/core.py' | 'param_use' | 10
+'app/other.py' | 'call' | 3
+'app/other.py' | 'function' | 2
+'app/other.py' | 'param_use' | 3
+'tests/test_core.py' | 'call' | 1
+'tests/test_core.py' | 'function' | 1
+'tests/test_core.py' | 'test' | 1
+"""))
 def program_facts(spark, d):
     """Facts of the sample program by file and kind."""
     return _facts(spark).groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_pinned("caller, callee, confidence, inferred", """
+'app/core.py::join' | 'app/core.py::pack' | 0.5::DOUBLE | true
+'app/core.py::join' | 'app/other.py::pack' | 0.5 | true
+'app/core.py::merge' | 'app/core.py::join' | 1.0 | false
+'app/other.py::caller' | 'app/core.py::merge' | 1.0 | false
+'app/other.py::caller' | 'app/core.py::pack' | 0.5 | true
+'app/other.py::caller' | 'app/core.py::unused' | 1.0 | false
+'app/other.py::caller' | 'app/other.py::pack' | 0.5 | true
+'tests/test_core.py::test_merge' | 'app/core.py::merge' | 1.0 | false
+"""))
 def program_call_edges(spark, d):
     return program.call_edges(_facts(spark)).select("caller", "callee", F.round("confidence", 3).alias("confidence"), "inferred")
 
 
-@query()
+@query(_pinned("caller, name, candidates", """
+'app/core.py::join' | 'pack' | 2::BIGINT
+'app/other.py::caller' | 'pack' | 2
+"""))
 def program_call_ambiguities(spark, d):
     return program.call_ambiguities(_facts(spark))
 
 
-@query()
+@query(_pinned("fn, bundle", """
+'app/core.py::join' | 'a,b'
+'app/core.py::merge' | 'left,right'
+"""))
 def program_signature_groups(spark, d):
     return program.signature_groups(_facts(spark)).select("fn", F.array_join("bundle", ",").alias("bundle"))
 
 
-@query()
+@query(_pinned("caller, caller_param, callee, callee_param", """
+'app/core.py::merge' | 'left' | 'app/core.py::join' | 'a'
+'app/core.py::merge' | 'right' | 'app/core.py::join' | 'b'
+'app/other.py::caller' | 'p' | 'app/core.py::merge' | 'left'
+'app/other.py::caller' | 'p' | 'app/core.py::unused' | 'value'
+'app/other.py::caller' | 'q' | 'app/core.py::merge' | 'right'
+'app/other.py::caller' | 'q' | 'app/core.py::unused' | 'spare'
+"""))
 def program_bindings(spark, d):
     return program.bindings(_facts(spark))
 
 
-@query()
+@query(_pinned("fn, param, bundle_id", """
+'app/core.py::join' | 'a' | 'app/core.py::join#a'
+'app/core.py::join' | 'b' | 'app/core.py::join#a'
+'app/core.py::merge' | 'left' | 'app/core.py::merge#left'
+'app/core.py::merge' | 'right' | 'app/core.py::merge#left'
+'app/other.py::caller' | 'p' | 'app/other.py::caller#p'
+'app/other.py::caller' | 'q' | 'app/other.py::caller#p'
+"""))
 def program_bundles(spark, d):
     """Bundles of the sample program carried to its callers."""
     f = _facts(spark)
     return program.propagate_bundles(program.signature_groups(f), program.bindings(f))
 
 
-@query()
+@query(_pinned("fn, params, callers, tier", """
+'app/core.py::merge' | 'mode' | 2::BIGINT | 'internal'
+"""))
 def program_decision_surfaces(spark, d):
     return program.decision_surfaces(_facts(spark)).select("fn", F.array_join("params", ",").alias("params"), "callers", "tier")
 
 
-@query()
+@query(_pinned("fn, confidence, kind", """
+'tests/test_core.py::test_merge' | 1.0::DOUBLE | 'must'
+"""))
 def program_impact(spark, d):
     """Tests that a change of the innermost function may reach."""
     return program.impact(_facts(spark), spark.createDataFrame([("app/core.py", 7, 8)], "path string, start int, end int"))
 
 
-@query()
+@query(_pinned("path, callee, param, value, calls", """
+'app/core.py' | 'join' | 'sep' | concat(chr(39), ',', chr(39)) | 1::BIGINT
+'app/core.py' | 'merge' | 'mode' | 'True' | 1
+"""))
 def program_constant_flow(spark, d):
     from ledgerloom.sources import python_code
 
     return python_code.constant_flow(_facts(spark))
 
 
-@query()
+@query(_pinned("callee, param, path, qual", """
+'unused' | 'spare' | 'app/other.py' | 'caller'
+"""))
 def program_unused_arguments(spark, d):
     from ledgerloom.sources import python_code
 

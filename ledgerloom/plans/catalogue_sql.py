@@ -8,6 +8,7 @@ _GEO = "SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation
 _DAILY = "SELECT event_type, ts::DATE AS day, count(*) FILTER (value > 95) AS hits FROM events GROUP BY 1, 2"
 _BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 _REF = f"nullif(regexp_replace(trim({{}}, {_BLANK}), '^\\./', ''), '')"
+_IDENT = f"nullif(lower(trim({{}}, {_BLANK})), '')"
 _LINKS = f"SELECT {_REF.format('source')} AS src, {_REF.format('target')} AS dst FROM impact_links WHERE lower(trim(source_kind)) = 'doc' AND lower(trim(confidence)) = 'explicit' AND nullif(trim(source), '') IS NOT NULL AND nullif(trim(target), '') IS NOT NULL"
 _MARKERS = """
 SELECT event_id, kind, profile, CASE WHEN expired THEN 'expired_exemption' WHEN profile = 'observe' THEN CASE WHEN kind = 'unknown' OR NOT witness THEN 'unresolved' ELSE 'resolved' END
@@ -56,8 +57,6 @@ ORACLES: dict[str, str] = {
         SELECT c_custkey, coalesce(near.v, far.v) AS supp, (CASE WHEN near.v IS NOT NULL THEN 0 WHEN far.v IS NOT NULL THEN 1 END)::BIGINT AS level, coalesce(near.h, far.h) AS hits FROM customer LEFT JOIN near ON near.k = c_nationkey LEFT JOIN far ON far.k = c_nationkey""",
     "join_ambiguity": "SELECT p_partkey, n, round(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE greatest(0.1::DOUBLE, 1::DOUBLE / n) END, 6) AS confidence, n > 1 AS inferred FROM (SELECT p_partkey, count(*) OVER (PARTITION BY split_part(p_name, ' ', 1)) AS n FROM part)",
     "join_as_of": "SELECT e.event_id, p.value AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts",
-    "join_point_in_span": """WITH e AS (SELECT DISTINCT scope_id, path, line, severity FROM lint_entries WHERE snapshot_no = 1)
-        SELECT a.scope_id, a.path, a.line, b.line AS error_line FROM e a JOIN e b ON a.scope_id = b.scope_id AND a.path = b.path AND a.severity = 'info' AND b.severity = 'error' AND abs(a.line - b.line) <= 5""",
     "delta_counts": f"SELECT o_orderpriority, count(*) FILTER (half = 0) AS baseline, count(*) FILTER (half = 1) AS current, count(*) FILTER (half = 1) - count(*) FILTER (half = 0) AS delta FROM ({_HALVES}) GROUP BY 1",
     "delta_entities": f"SELECT o_custkey, CASE WHEN a = 0 THEN 'added' WHEN b = 0 THEN 'removed' ELSE 'changed' END AS change_kind FROM (SELECT o_custkey, count(*) FILTER (half = 0) AS a, count(*) FILTER (half = 1) AS b FROM ({_HALVES}) GROUP BY 1) WHERE a <> b",
     "delta_gate": f"SELECT o_orderpriority, CASE WHEN b - a >= 20 THEN 'block' WHEN b - a >= 1 THEN 'warn' ELSE 'pass' END AS gate, a || ' -> ' || b || ' (' || CASE WHEN b >= a THEN '+' ELSE '' END || (b - a) || ')' AS shown FROM (SELECT o_orderpriority, count(*) FILTER (half = 0) AS a, count(*) FILTER (half = 1) AS b FROM ({_HALVES}) GROUP BY 1)",
@@ -71,7 +70,6 @@ ORACLES: dict[str, str] = {
     "order_violation": "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders) WHERE previous > o_totalprice",
     "determinism_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "ledger_fold": "SELECT user_id, seq, value FROM (SELECT user_id, max(event_id) AS seq, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS op FROM events WHERE event_type <> 'view' GROUP BY 1) WHERE op <> 'error'",
-    "ledger_tail": "SELECT event_type, count(*) AS n FROM events WHERE event_id > 100 AND event_id <= 900 GROUP BY 1",
     "ledger_parity": "SELECT user_id, event_id AS seq, value, 'a' AS side FROM events WHERE false",
     "graph_reach": f"WITH RECURSIVE e AS ({_GEO}), r(node, depth) AS (SELECT x, 0 FROM (VALUES ('r0'), ('r3')) v(x) UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2) SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY 1",
     "graph_impact": """WITH RECURSIVE e AS (SELECT target AS src, source AS dst, CASE confidence WHEN 'explicit' THEN 1.0::DOUBLE WHEN 'inferred' THEN 0.6 ELSE 0.3 END AS c FROM impact_links WHERE source IS NOT NULL AND target IS NOT NULL),
@@ -81,7 +79,6 @@ ORACLES: dict[str, str] = {
         l1 AS (SELECT a.node, sha256(a.l || '#' || (SELECT string_agg(b.l, ',' ORDER BY b.l) FROM e JOIN l0 b ON b.node = e.dst WHERE e.src = a.node)) AS l FROM l0 a),
         l2 AS (SELECT a.node, sha256(a.l || '#' || (SELECT string_agg(b.l, ',' ORDER BY b.l) FROM e JOIN l1 b ON b.node = e.dst WHERE e.src = a.node)) AS l FROM l1 a)
         SELECT min(node) AS first_node, count(*) AS size FROM l2 GROUP BY l""",
-    "graph_signature": f"WITH e AS (SELECT * FROM ({_GEO}) WHERE src LIKE 'r%'), n AS (SELECT name, row_number() OVER (ORDER BY substr(name, 1, 1), name) - 1 AS i FROM (SELECT src AS name FROM e UNION SELECT dst FROM e)) SELECT DISTINCT a.i AS src_no, b.i AS dst_no FROM e JOIN n a ON a.name = src JOIN n b ON b.name = dst",
     "graph_scc": f"""WITH RECURSIVE e AS ({_LINKS}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), m AS (SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
         SELECT node, component, n FROM (SELECT node, component, count(*) OVER (PARTITION BY component) AS n FROM m) WHERE n > 1""",
     "graph_toposort": f"""WITH RECURSIVE e AS ({_LINKS}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), c AS (SELECT DISTINCT a AS node FROM r WHERE a = b),
@@ -95,14 +92,12 @@ ORACLES: dict[str, str] = {
     "id_digest": "SELECT p_partkey, 'suite:' || substr(sha256('int:' || p_partkey || '|str:' || p_name), 1, 16) AS suite_id, sha256('int:' || p_partkey || '|str:' || p_name) AS digest FROM part",
     "scalar_paramset": "SELECT row_id, array_to_string(s, ',') AS requires, len(s)::BIGINT AS n FROM (SELECT row_id, list_sort(list_distinct(list_filter(list_transform(coalesce(doc_requires, []), lambda x: trim(x)), lambda x: x <> ''))) AS s FROM doc_frontmatter)",
     "scalar_durations": "SELECT event_id, floor(value)::BIGINT * 60000000000 + (event_id % 60) * 1000000000 AS ns FROM events",
-    "scalar_canonical_json": "SELECT delivery_id, json_extract_string(j, '$.key') AS state_key FROM (SELECT delivery_id, try_cast(payload_json AS JSON) AS j FROM event_envelopes WHERE payload_json LIKE '{%') WHERE j IS NOT NULL",
     "path_tests": "SELECT link_id, regexp_matches(split_part(source, '::', 1), '(^|/)tests?/|(^|/)test_[^/]*\\.py$|_test\\.py$') AS is_test FROM impact_links WHERE source IS NOT NULL",
     "text_headings": """WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS no FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS s FROM documents WHERE text IS NOT NULL)),
         h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN trim(regexp_replace(line, '^#{1,6}\\s+', '')) END AS t FROM l), c AS (SELECT doc_id, t, last_value(t IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no) AS heading FROM h)
         SELECT doc_id, heading, count(*) AS n FROM c WHERE heading IS NOT NULL AND t IS NULL GROUP BY 1, 2""",
     "text_front_matter": """WITH l AS (SELECT doc_id, unnest(string_split(split_part(replace(text, chr(13), '')[5:], chr(10) || '---', 1), chr(10))) AS line FROM documents WHERE starts_with(replace(text, chr(13), ''), '---' || chr(10)))
         SELECT doc_id, regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_.-]*)\\s*:', 1) AS field, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM l WHERE regexp_matches(line, '^[A-Za-z_][A-Za-z0-9_.-]*\\s*:')""",
-    "text_lint_lines": "SELECT trim(code) AS code, count(*) AS n, sum(line)::BIGINT AS lines FROM lint_entries WHERE snapshot_no = 1 GROUP BY 1",
     "doc_contains": "SELECT doc_id FROM documents WHERE contains(lower(text), 'decision surface')",
     "evidence_coverage": "WITH n AS (SELECT DISTINCT node_id AS target, node_type FROM impact_nodes), l AS (SELECT trim(target) AS target, count(*) AS links FROM impact_links WHERE trim(target) <> '' GROUP BY 1) SELECT CASE WHEN node_type IS NULL THEN 'unknown' WHEN links IS NULL THEN 'dead' ELSE 'mapped' END AS state, node_type, count(*) AS n, sum(coalesce(links, 0))::BIGINT AS links FROM n FULL JOIN l USING (target) GROUP BY 1, 2",
     "link_dedupe": "SELECT source_kind, trim(source) AS source, trim(target) AS target, min(CASE confidence WHEN 'explicit' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END)::BIGINT AS confidence_rank FROM impact_links WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY 1, 2, 3",
@@ -112,4 +107,22 @@ ORACLES: dict[str, str] = {
     "window_tumbling": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "window_session": "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, g",
     "rank_classes": "SELECT p_type, n, dense_rank() OVER (ORDER BY n DESC) - 1 AS class_rank FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1)",
+    "join_point_in_span_all": """WITH e AS (SELECT DISTINCT scope_id, snapshot_no, path, line, severity FROM lint_entries)
+        SELECT a.scope_id, a.snapshot_no, a.path, a.line, b.line AS error_line FROM e a JOIN e b ON a.scope_id = b.scope_id AND a.snapshot_no = b.snapshot_no AND a.path = b.path AND a.severity = 'info' AND b.severity = 'error' AND abs(a.line - b.line) <= 5""",
+    "text_lint_lines_all": "SELECT trim(code) AS code, count(*) AS n, sum(line)::BIGINT AS lines FROM lint_entries GROUP BY 1",
+    "graph_signature_all": f"WITH e AS (SELECT * FROM ({_GEO})), n AS (SELECT name, row_number() OVER (ORDER BY substr(name, 1, 1), name) - 1 AS i FROM (SELECT src AS name FROM e UNION SELECT dst FROM e)) SELECT DISTINCT a.i AS src_no, b.i AS dst_no FROM e JOIN n a ON a.name = src JOIN n b ON b.name = dst",
+    "ledger_tail_runs": f"""WITH snap AS (SELECT run, arg_max(coalesce(replay_cursor, -9223372036854775808), (coalesce(seq, -9223372036854775808), coalesce(replay_cursor, -9223372036854775808), snapshot_id)) AS cur FROM (
+        SELECT {_IDENT.format('run_id')} AS run, seq, replay_cursor, snapshot_id, try_cast(state_json AS JSON) AS j FROM snapshot_envelopes) WHERE run IS NOT NULL AND json_type(CASE WHEN json_type(j) = 'VARCHAR' THEN try_cast(j->>'$' AS JSON) ELSE j END) = 'OBJECT' GROUP BY 1),
+        com AS (SELECT {_IDENT.format('run_id')} AS run, max(last_durable_sequence) AS last FROM commit_markers WHERE last_durable_sequence IS NOT NULL GROUP BY 1),
+        e AS (SELECT {_IDENT.format('run_id')} AS run, sequence AS seq, {_IDENT.format('op_kind')} AS kind FROM event_envelopes)
+        SELECT e.run AS run_id, kind AS op_kind, count(*) AS n FROM e LEFT JOIN snap ON snap.run = e.run LEFT JOIN com ON com.run = e.run WHERE e.run IS NOT NULL AND seq IS NOT NULL AND (cur IS NULL OR seq > cur) AND (last IS NULL OR seq <= last) GROUP BY 1, 2""",
+    "graph_components": f"""WITH RECURSIVE l AS (SELECT {_REF.format('source')} AS a, {_REF.format('target')} AS b FROM impact_links), n AS (SELECT a AS x FROM l WHERE a IS NOT NULL UNION SELECT b FROM l WHERE b IS NOT NULL),
+        e AS (SELECT a AS x, b AS y FROM l WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM l WHERE a IS NOT NULL AND b IS NOT NULL), r(x, y) AS (SELECT x, x FROM n UNION SELECT e.y, r.y FROM r JOIN e ON e.x = r.x WHERE r.y < e.y)
+        SELECT x AS node, min(y) AS component FROM r GROUP BY 1""",
+    "graph_union_sets": f"""WITH RECURSIVE m AS (SELECT DISTINCT row_id::VARCHAR AS o, {_REF.format('x')} AS x FROM (SELECT row_id, unnest(doc_requires) AS x FROM doc_frontmatter)), k AS (SELECT o, x FROM m WHERE x IS NOT NULL),
+        e AS (SELECT DISTINCT a.o AS x, b.o AS y FROM k a JOIN k b ON a.x = b.x), r(x, y) AS (SELECT o, o FROM k UNION SELECT e.y, r.y FROM r JOIN e ON e.x = r.x)
+        SELECT x AS owner, min(y) AS "group" FROM r GROUP BY 1""",
+    "stream_once_only": f"""SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY r, sequence, o ORDER BY received_at, delivery_id) AS n
+        FROM (SELECT delivery_id, {_IDENT.format('run_id')} AS r, sequence, {_IDENT.format('op_id')} AS o, received_at FROM event_envelopes) WHERE r IS NOT NULL AND sequence IS NOT NULL AND o IS NOT NULL) WHERE n > 1""",
+    "scalar_type_keys": "SELECT * FROM (VALUES ('Optional[int]', 'Union[None, int]'), ('int | None', 'Union[None, int]'), ('typing.List[str]', 'list[str]'), ('Union[str, int]', 'Union[int, str]'), ('dict[str, Optional[int]]', 'dict[str, Union[None, int]]')) v(hint, type_key)",
 }

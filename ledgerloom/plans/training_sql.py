@@ -146,4 +146,8 @@ FROM node v LEFT JOIN oncycle o ON o.h = v.h AND o.n = v.n LEFT JOIN dist s ON s
 GROUP BY v.h, v.n
 """
 
-ORACLES = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p7_paths": P7_PATHS}
+P7_DESCENDANTS = P7[: P7.index("oncycle AS")].rstrip().rstrip(",") + """
+SELECT DISTINCT h AS hierarchy, a AS node_name, n AS descendant FROM up WHERE a <> n
+"""
+
+ORACLES = {"p7_descendants": P7_DESCENDANTS, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p7_paths": P7_PATHS}

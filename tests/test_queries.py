@@ -2,12 +2,12 @@
 
 import pytest
 
-from ledgerloom.plans import catalogue, catalogue_sql, training, training_sql
+from ledgerloom.plans import catalogue, catalogue_evidence, catalogue_sql, training, training_sql
 from tests.conftest import rows, same_as_sql
 
 TRAINING = {n: f for n, f in vars(training).items() if n.startswith("p") and n[1:2].isdigit()}
-CASES = {**catalogue.QUERIES, **TRAINING}
-SQL = {**catalogue_sql.ORACLES, **training_sql.ORACLES}
+CASES = {**catalogue.QUERIES, **catalogue_evidence.QUERIES, **TRAINING}
+SQL = {**catalogue_sql.ORACLES, **catalogue_evidence.ORACLES, **training_sql.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

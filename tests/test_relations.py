@@ -232,6 +232,7 @@ def test_an_unfinished_fixpoint_is_an_error(spark, monkeypatch):
     from ledgerloom.operators import program
 
     chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)], "src string, dst string")
+    monkeypatch.setattr(graphs, "LOCAL_EDGES", 0)
     monkeypatch.setattr(graphs, "MAX_ROUNDS", 1)
     with pytest.raises(RuntimeError):
         graphs.components(chain)
@@ -249,3 +250,45 @@ def test_mask_bits_that_do_not_fit_are_an_error(spark):
         fingerprints.masks(items, bits).collect()
     got = {(r.owner, r.word, r["mask"]) for r in fingerprints.wide_masks(items, bits).collect()}
     assert got == {(1, 0, 1), (1, 1, 4), (2, 0, 1)}
+
+
+@pytest.mark.parametrize("few", [0, 12, 10**6])
+def test_rounds_and_one_task_agree(spark, monkeypatch, few):
+    rng = random.Random(few)
+    monkeypatch.setattr(graphs, "LOCAL_EDGES", few)
+    names = [f"n{i:02d}" for i in range(24)]
+    pairs = {(rng.choice(names), rng.choice(names)) for _ in range(18)} | {(f"c{i:02d}", f"c{i + 1:02d}") for i in range(12)}
+    e = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    nodes = spark.createDataFrame([("alone",)], "node string")
+    down = {}
+    for a, b in pairs:
+        down.setdefault(a, set()).add(b)
+
+    def below(a):
+        seen, todo = set(), [a]
+        while todo:
+            for x in down.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    every = {x for p in pairs for x in p} | {"alone"}
+    reach = {a: below(a) for a in every}
+    strong = {a: min([a, *(b for b in reach[a] if a in reach[b])]) for a in every}
+    assert {r.node: r.component for r in graphs.strong_components(e, nodes).collect()} == strong
+    bad = {b for a in every if a in reach[a] for b in reach[a]}
+    level = {}
+
+    def depth(n):
+        if n not in level:
+            level[n] = max((depth(a) + 1 for a, b in pairs if b == n), default=0)
+        return level[n]
+
+    assert {r.node: r.level for r in graphs.levels(e, nodes).collect()} == {n: None if n in bad else depth(n) for n in every}
+    near = {n: {n} for n in every}
+    for _ in every:
+        for a, b in pairs:
+            near[a] |= near[b]
+            near[b] |= near[a]
+    assert {r.node: r.component for r in graphs.components(e, nodes).collect()} == {n: min(near[n]) for n in every}
