@@ -4,13 +4,16 @@ Every round rakes all leaves into their parents and splices out an independent s
 hash of the round exceeds that of parent and child), so long chains and wide trees both shrink by a constant factor and
 the rounds grow with the logarithm of the size. Removed nodes are kept with what is needed to put them back; undoing the
 rounds in reverse gives root, depth, path and number of descendants. A cycle never loses its last node: it contracts to
-a node that is its own parent, which is how cycles show. Every round is one written table in the shared folder.
+a node that is its own parent, which is how cycles show. Every round is one written table in the shared folder; when few
+nodes are left linked, one task rakes them leaf by leaf and undoes that in the same way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +22,59 @@ from ledgerloom.session import stored, stored_with
 
 #: Far beyond what any input needs; the rounds grow as the logarithm of the number of nodes.
 MAX_ROUNDS = 400
+#: Nodes still linked that one task may finish; counted in every round. Beyond it all rounds are distributed.
+LOCAL_NODES = 20_000
 _RESOLVED = ["h", "id", "cls", "root", "depth", "total"]
 
 
-def _contract(live: DataFrame, paths: bool) -> list[tuple[DataFrame, dict]]:
-    """Each round's table and how many of its nodes are leaves, spliced, and still linked to another.
+def _rake_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of a contraction, raked leaf by leaf and undone in reverse: h, id, cls, root, depth, total, path.
+
+    Rows are those of _contract's live. Nodes that no raking reaches are on cycles.
+    """
+    rows = {(r["h"], r["id"]): r for b in batches for r in b.to_pylist()}
+    kids = dict.fromkeys(rows, 0)
+    total = {k: r["own"] for k, r in rows.items()}
+    up = {k: (k[0], r["parent"]) if r["parent"] is not None else None for k, r in rows.items()}
+    for k, p in up.items():
+        if p is not None:
+            kids[p] += 1
+    raked = [k for k in rows if not kids[k]]
+    for k in raked:  # grows while it is read
+        p = up[k]
+        if p is not None:
+            total[p] += total[k] + rows[k]["extra"]
+            kids[p] -= 1
+            if not kids[p]:
+                raked.append(p)
+    known: dict[tuple, tuple] = {}
+    for k in rows:
+        if kids[k] and k not in known:
+            ring, at = [], k
+            while not ring or at != k:
+                ring.append(at)
+                at = up[at]
+            names = [x for m in ring for x in (m[1], rows[m]["low"]) if x is not None]
+            size = sum(total[m] + rows[m]["extra"] for m in ring)
+            for m in ring:
+                known[m] = ("cycle", min(names), 0, size, [m[1]])
+    for k in reversed(raked):
+        p = up[k]
+        if p is None:
+            known[k] = ("tree", k[1], 0, total[k], [k[1]])
+        else:
+            cls, root, depth, _, path = known[p]
+            known[k] = ("tree" if cls == "tree" else "below_cycle", root, depth + rows[k]["w"], total[k], [*path, *rows[k].get("seg", ()), k[1]])
+    out = [(*k, *v) for k, v in known.items()]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+    for i in range(0, len(out), 5000):
+        cols = list(zip(*out[i : i + 5000]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[*_RESOLVED, "path"])
+
+
+def _contract(live: DataFrame, paths: bool) -> tuple[list[tuple[DataFrame, dict]], DataFrame]:
+    """Each round's table and how many of its nodes are leaves, spliced, and still linked to another; and what resolves
+    the nodes that the last round left.
 
     live: h, id, parent, kids (children left), w (links to the parent), own (nodes raked into it, itself included), extra
     and low (number and smallest name of the nodes spliced out of its link), seg (their names) if paths.
@@ -44,8 +95,11 @@ def _contract(live: DataFrame, paths: bool) -> list[tuple[DataFrame, dict]]:
         yes = lambda c: F.count(F.when(c, 1))
         b, n = stored_with(b, f"round{r}", leaf=yes(F.col("leaf")), spliced=yes(F.col("spliced")), linked=yes(~F.col("leaf") & ~F.col("spliced") & (F.col("parent") != F.col("id"))))
         rounds.append((b, n))
+        looped = F.col("parent").isNotNull()
         if not n["linked"]:
-            return rounds
+            last = b.where("not leaf and not spliced")
+            root = F.when(looped, F.least("id", "low")).otherwise(F.col("id"))
+            return rounds, last.select("h", "id", F.when(looped, "cycle").otherwise("tree").alias("cls"), root.alias("root"), F.lit(0).cast("bigint").alias("depth"), (F.col("own") + F.col("extra")).alias("total"), *([F.array("id").alias("path")] if paths else []))
         stay = b.where("not leaf and not spliced")
         over = b.where("spliced").select("h", F.col("child").alias("id"), F.col("id").alias("via"), F.col("parent").alias("up"), F.col("w").alias("up_w"), (F.col("own") + F.col("extra")).alias("up_extra"), F.col("low").alias("up_low"), *([F.col("seg").alias("up_seg")] if paths else []))
         joined = stay.join(over, ["h", "id"], "left")
@@ -54,6 +108,13 @@ def _contract(live: DataFrame, paths: bool) -> list[tuple[DataFrame, dict]]:
             "h", "id", "kids", F.coalesce("up", "parent").alias("parent"), (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), "own", (F.col("extra") + F.coalesce("up_extra", F.lit(0))).alias("extra"),
             F.least("low", "via", "up_low").alias("low"), *([F.when(hit, F.concat("up_seg", F.array("via"), "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []),
         )
+        if n["linked"] <= LOCAL_NODES:
+            linked = F.col("parent").isNotNull() | (F.col("kids") > 0)
+            kept = stored(live, "core")
+            core = kept.where(linked).repartition(1).mapInArrow(_rake_alone, "h string, id string, cls string, root string, depth bigint, total bigint, path array<string>")
+            alone = kept.where(~linked).select("h", "id", F.lit("tree").alias("cls"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.col("own").alias("total"), F.array("id").alias("path"))
+            both = core.unionByName(alone)
+            return rounds, both if paths else both.drop("path")
     raise RuntimeError("contraction did not end")
 
 
@@ -74,15 +135,8 @@ def hierarchies(edges: DataFrame, nodes: DataFrame | None = None, paths: bool =
     start = stored(start.groupBy("h", "id").agg(F.min("parent").alias("parent")), "start")
     kids = start.where("parent is not null").groupBy("h", F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
     live = start.join(kids, ["h", "id"], "left").select("h", "id", "parent", F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(1).cast("bigint").alias("w"), F.lit(1).cast("bigint").alias("own"), F.lit(0).cast("bigint").alias("extra"), F.lit(None).cast("string").alias("low"), *([F.array().cast("array<string>").alias("seg")] if paths else []))
-    rounds = _contract(stored(live, "live"), paths)
-    looped = F.col("parent").isNotNull()
-    alone = lambda: [F.array("id").alias("path")] if paths else []
-    done = stored(
-        rounds[-1][0].where("not leaf and not spliced").select(
-            "h", "id", F.when(looped, "cycle").otherwise("tree").alias("cls"), F.when(looped, F.least("id", "low")).otherwise(F.col("id")).alias("root"), F.lit(0).cast("bigint").alias("depth"), (F.col("own") + F.col("extra")).alias("total"), *alone()
-        ),
-        "resolved",
-    )
+    rounds, core = _contract(stored(live, "live"), paths)
+    done = stored(core, "resolved")
     for b, n in reversed(rounds):
         at = lambda df, key, mark, cols: df.select("h", F.col("id").alias(key), *(F.col(c).alias(mark + c) for c in cols))
         known = ["cls", "root", "depth", *(["path"] if paths else [])]

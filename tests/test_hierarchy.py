@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ledgerloom.operators import hierarchy as H
 
 
@@ -88,3 +90,13 @@ def test_edges_of_documents(spark):
     docs = spark.createDataFrame([("./a.md", 1, ["x.md#s"], 1), ("a.md", 2, [" ", None, "./b.md#t", "c.md"], 2), ("b.md", 1, None, 3), (None, 5, ["a.md"], 4), ("c.md", 1, ["#only"], 5)], "doc_path string, doc_revision int, doc_requires array<string>, row_id bigint")
     docs = docs.selectExpr("*", "cast(null as timestamp) published_at")
     assert {(r.child, r.parent) for r in H.required_edges(docs).collect()} == {("a.md", "b.md"), ("b.md", None), ("c.md", None)}
+
+
+@pytest.mark.parametrize("few", [0, 40])
+def test_rounds_to_the_end_and_a_core_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(H, "LOCAL_NODES", few)
+    rng = random.Random(6)
+    edges = [(f"n{i:03d}", f"n{rng.randrange(150) if rng.random() < 0.05 else rng.randrange(max(i, 1)):03d}") for i in range(150) if rng.random() < 0.9]
+    names = [f"k{i:02d}" for i in range(60)]
+    edges += list(zip(names[1:30], names[:29])) + list(zip(names[30:], names[31:] + names[30:31]))
+    assert solve(spark, edges, ["lone"]) == brute(edges, ["lone"])
