@@ -1,9 +1,10 @@
 """What changed between full snapshots, by content-defined chunks of the key-sorted rows.
 
-Snapshots are sorted by key over range partitions, which also split a snapshot of any size. A chunk ends where the hash
-of a key says so, hence equal stretches of two snapshots give equal chunks wherever they stand. Chunks whose digest
-also occurs in the neighbouring snapshot are dropped by comparing digests only; the rows of the others are joined by
-key. Any cut into chunks gives the same result, so the edges of partitions and batches do no harm.
+Snapshots are sorted by key, scope by scope; a scope of very many rows is split by a hash of the key, alike in all its
+snapshots. A chunk ends where the hash of a key says so, hence equal stretches of two snapshots give equal chunks
+wherever they stand. Chunks whose digest also occurs in the neighbouring snapshot are dropped by comparing digests only;
+the rows of the others are joined by key. Any cut into chunks gives the same result, so the edges of parts and batches do
+no harm. A row's hash is only ever held against that of the same key's row next to it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ledgerloom.session import join_measured, stored
 
 #: Mean rows of a chunk, a power of two.
 CHUNK_ROWS = 64
+#: Rows that a part of a scope is meant for: of a scope with more, keys go to parts by their hash.
+PART_ROWS = 1 << 16
 _GROUP = ["source_table", "scope_id", "snapshot_no"]
 _CHUNK = "source_table string, scope_id string, snapshot_no bigint, d1 bigint, d2 bigint, keys array<string>, hashes array<bigint>"
 
@@ -75,9 +78,13 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     snapshot the one loaded last counts, then the greatest hash. Rows without a snapshot number or key belong to no
     snapshot; a null scope is a scope of its own.
     """
-    ready = rows.select("source_table", F.coalesce("scope_id", F.lit("")).alias("scope_id"), F.col("snapshot_no").cast("bigint").alias("snapshot_no"), "record_key", F.xxhash64("record_key").alias("key_hash"), "row_hash", "loaded").dropna(subset=["snapshot_no", "record_key", "row_hash"])
+    scope = F.coalesce("scope_id", F.lit("")).alias("scope_id")
+    large = rows.groupBy("source_table", scope).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
+    ready = rows.select("source_table", scope, F.col("snapshot_no").cast("bigint").alias("snapshot_no"), "record_key", F.xxhash64("record_key").alias("key_hash"), "row_hash", "loaded").dropna(subset=["snapshot_no", "record_key", "row_hash"])
+    parted = join_measured(ready, large, ["source_table", "scope_id"], "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod("key_hash", "parts")).otherwise(0)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = ready.repartitionByRange(n, *_GROUP, "record_key").sortWithinPartitions(*_GROUP, "record_key", F.desc_nulls_last("loaded"), F.desc("row_hash"))
+    cut = parted.repartition(n, "source_table", "scope_id", part).sortWithinPartitions(*_GROUP, "record_key", F.desc_nulls_last("loaded"), F.desc("row_hash"))
     chunks = stored(cut.select(*_GROUP, "record_key", "key_hash", "row_hash").mapInArrow(_chunks, _CHUNK), "chunks")
     order = Window.partitionBy("source_table", "scope_id").orderBy("snapshot_no")
     near = chunks.select(*_GROUP).distinct().select(*_GROUP, F.lag("snapshot_no").over(order).alias("lower"), F.lead("snapshot_no").over(order).alias("higher"))

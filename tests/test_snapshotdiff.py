@@ -56,3 +56,11 @@ def test_large_snapshots_against_brute_force(spark):
         rows += [("t", "s", n, k, v, T) for k, v in new.items()] * (2 if n == 3 else 1)
     df = spark.createDataFrame(rows, "source_table string, scope_id string, snapshot_no int, record_key string, row_hash bigint, loaded timestamp").repartition(3)
     assert changes(df) == want
+
+
+def test_a_scope_in_many_parts(spark, monkeypatch):
+    rows = [("t", "s" if i % 3 else "r", n, f"k{i:04d}", i * n if i % 50 == 0 else i, T) for n in (1, 2) for i in range(900) if (i + n) % 97]
+    df = spark.createDataFrame(rows, "source_table string, scope_id string, snapshot_no int, record_key string, row_hash bigint, loaded timestamp")
+    whole = changes(df)
+    monkeypatch.setattr(S, "PART_ROWS", 100)
+    assert changes(df) == whole and {k for *_, k in whole} == {"added", "removed", "changed"}
