@@ -38,7 +38,7 @@ def set_classes(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bo
     rare = stored(elements.groupBy("element").agg(F.count("*").alias("sets")), "rare")
     exact = rare.count() <= 64
     bit = F.dense_rank().over(Window.orderBy(F.desc("sets"), "element")) - 1 if exact else F.pmod(F.xxhash64("element"), F.lit(64))
-    ranked = elements.join(rare.withColumn("bit", bit.cast("int")), "element").withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("sets", "element")))
+    ranked = elements.join(rare.withColumn("bit", bit.cast("int")), "element").withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("sets", F.desc("element"))))
     elements = stored(ranked.select("set_id", "element", "n", "rank", "bit"), "elements")
     classes = elements.groupBy("set_id", "n").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     return owners, elements, stored(classes, "classes"), exact
@@ -46,7 +46,7 @@ def set_classes(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bo
 
 def _side(df: DataFrame, classes: DataFrame, as_: str) -> DataFrame:
     """element, and set id, size and mask of its class under the names as_, n + as_, m + as_."""
-    return df.select("set_id", "element").join(classes, "set_id").select("element", F.col("set_id").alias(as_), F.col("n").alias(f"n{as_}"), F.col("mask").alias(f"m{as_}"))
+    return df.select("set_id", "element", "bit").join(classes, "set_id").select("element", "bit", F.col("set_id").alias(as_), F.col("n").alias(f"n{as_}"), F.col("mask").alias(f"m{as_}"))
 
 
 def _common(cand: DataFrame, elements: DataFrame, exact: bool) -> DataFrame:
@@ -59,7 +59,7 @@ def _common(cand: DataFrame, elements: DataFrame, exact: bool) -> DataFrame:
 
 def containing(elements: DataFrame, classes: DataFrame, exact: bool) -> DataFrame:
     """a, b, nb: classes b that properly contain class a; candidates share a's rarest element."""
-    x, y = _side(elements.where("rank = 1"), classes, "a"), _side(elements, classes, "b")
+    x, y = _side(elements.where("rank = 1"), classes, "a").drop("bit"), _side(elements, classes, "b").drop("bit")
     cand = x.join(y, "element").where("nb > na and (ma & ~mb) = 0").drop("element")
     return _common(cand, elements, exact).where("k = na").select("a", "b", "nb")
 
@@ -80,15 +80,25 @@ def likeness_join(members: DataFrame, least: float) -> DataFrame:
     owners, elements, classes, exact = set_classes(members)
     stands = owners.groupBy("set_id").agg(F.min("owner").alias("owner"))
     prefix = elements.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    x, y = _side(prefix, classes, "a"), _side(prefix, classes, "b")
+    x, y = _side(prefix, classes, "a"), _side(prefix, classes, "b").drop("bit")
     #: No more elements in common than either set has under the other's bits.
     most = F.least(F.expr("na - bit_count(ma & ~mb)"), F.expr("nb - bit_count(mb & ~ma)"))
-    cand = x.join(y, "element").where((F.col("a") < F.col("b")) & (most >= least * (F.col("na") + F.col("nb") - most) - 1e-9)).drop("element").distinct()
+    near = (F.col("a") < F.col("b")) & (F.col("nb") >= least * F.col("na") - 1e-9) & (F.col("na") >= least * F.col("nb") - 1e-9)
+    if exact:  # each pair once, by its rarest common element: no higher bit is common
+        near = near & F.expr("shiftrightunsigned(shiftrightunsigned(ma & mb, bit), 1) = 0")
+    cand = x.join(y, "element").where(near & (most >= least * (F.col("na") + F.col("nb") - most) - 1e-9)).drop("element", "bit")
+    cand = cand if exact else cand.distinct()
     j = _common(cand, elements, exact).withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("jaccard") >= least - 1e-12)
     named = j.join(stands.toDF("a", "oa"), "a").join(stands.toDF("b", "ob"), "b")
     return named.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "jaccard")
 
 
+def class_members(members: DataFrame) -> DataFrame:
+    """owner, stands: every owner and the one that stands for its class in likeness_join."""
+    owners = stored(signatures(members), "owners")
+    return owners.join(owners.groupBy("set_id").agg(F.min("owner").alias("stands")), "set_id").select("owner", "stands")
+
+
 def winners(df: DataFrame, group: list[str], objectives: list[Column]) -> DataFrame:
     """The first row of each group by the objectives in turn, which must end in a unique one.
 

@@ -450,14 +450,6 @@ def graph_union_sets(spark, d):
     return graphs.union_sets(r.select("owner", reference("x").alias("element")).dropna())
 
 
-@query
-def graph_impact(spark, d):
-    """Reverse reach from the documents required most, a path worth its weakest link; must from 0.9."""
-    l = table(spark, d, "impact_links").select(F.col("target").alias("src"), F.col("source").alias("dst"), F.when(F.col("confidence") == "explicit", 1.0).when(F.col("confidence") == "inferred", 0.6).otherwise(0.3).alias("confidence")).dropna(subset=["src", "dst"])
-    seeds = l.where("src like 's%'").select(F.col("src").alias("node")).distinct()
-    return graphs.strongest_paths(l, seeds, 3).select("node", F.round("confidence", 3).alias("confidence"), F.when(F.col("confidence") >= 0.9, "must").otherwise("likely").alias("kind"))
-
-
 @query
 def graph_wl(spark, d):
     """Sizes of the classes of nodes that two rounds of refinement can't tell apart."""
@@ -597,24 +589,6 @@ def doc_contains(spark, d):
     return docs.where(F.contains(F.lower("text"), F.lit("decision surface"))).select("doc_id")
 
 
-@query
-def evidence_coverage(spark, d):
-    """Reference targets by kind of node: mapped, dead, or named by links only."""
-    nodes = table(spark, d, "impact_nodes").select(F.col("node_id").alias("target"), "node_type").distinct()
-    links = table(spark, d, "impact_links").select(F.trim("target").alias("target")).where("target <> ''").groupBy("target").agg(F.count("*").alias("links"))
-    j = nodes.join(links, "target", "full")
-    state = F.when(F.col("node_type").isNull(), "unknown").when(F.col("links").isNull(), "dead").otherwise("mapped")
-    return j.groupBy(state.alias("state"), "node_type").agg(F.count("*").alias("n"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
-
-
-@query
-def link_dedupe(spark, d):
-    """The most certain confidence of every link, explicit before inferred before weak."""
-    rank = F.when(F.col("confidence") == "explicit", 0).when(F.col("confidence") == "inferred", 1).otherwise(2)
-    l = table(spark, d, "impact_links").dropna(subset=["source", "target"]).groupBy("source_kind", F.trim("source").alias("source"), F.trim("target").alias("target")).agg(F.min(rank).alias("r"))
-    return l.select("source_kind", "source", "target", F.col("r").cast("bigint").alias("confidence_rank"))
-
-
 # Taint
 
 

@@ -290,6 +290,110 @@ def summary_truncation(spark, d):
     return deltas.truncated(c, [F.desc("n"), "code"], F.concat_ws(" ", "code", F.col("n").cast("string")), 20)
 
 
+@query(f"""WITH n AS (SELECT DISTINCT node_id AS target, node_type FROM impact_nodes), l AS (SELECT {_T} AS target, count(*) AS links FROM impact_links WHERE {_T} IS NOT NULL GROUP BY 1)
+SELECT CASE WHEN node_type IS NULL THEN 'unknown' WHEN links IS NULL THEN 'dead' ELSE 'mapped' END AS state, node_type, count(*) AS n, sum(coalesce(links, 0))::BIGINT AS links FROM n FULL JOIN l USING (target) GROUP BY 1, 2""")
+def evidence_reference_coverage(spark, d):
+    """Referenced nodes by kind: mapped, dead, or named by links only; targets as references."""
+    nodes = table(spark, d, "impact_nodes").select(F.col("node_id").alias("target"), "node_type").distinct()
+    links = table(spark, d, "impact_links").select(reference("target").alias("target")).dropna().groupBy("target").agg(F.count("*").alias("links"))
+    state = F.when(F.col("node_type").isNull(), "unknown").when(F.col("links").isNull(), "dead").otherwise("mapped")
+    return nodes.join(links, "target", "full").groupBy(state.alias("state"), "node_type").agg(F.count("*").alias("n"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
+
+
+@query(f"SELECT source_kind, {_S} AS source, {_T} AS target, min(CASE confidence WHEN 'explicit' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END)::BIGINT AS confidence_rank FROM impact_links WHERE {_S} IS NOT NULL AND {_T} IS NOT NULL GROUP BY 1, 2, 3")
+def link_best_confidence(spark, d):
+    """The most certain confidence of every link between references, explicit before inferred before weak."""
+    rank = F.when(F.col("confidence") == "explicit", 0).when(F.col("confidence") == "inferred", 1).otherwise(2).cast("bigint")
+    l = table(spark, d, "impact_links").select("source_kind", reference("source").alias("source"), reference("target").alias("target"), rank.alias("r")).dropna(subset=["source", "target"])
+    return l.groupBy("source_kind", "source", "target").agg(F.min("r").alias("confidence_rank"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT {_T} AS src, {_S} AS dst, max(CASE confidence WHEN 'explicit' THEN 1.0::DOUBLE WHEN 'inferred' THEN 0.6 ELSE 0.3 END) AS c FROM impact_links WHERE {_S} IS NOT NULL AND {_T} IS NOT NULL GROUP BY 1, 2),
+r(node, c, d) AS (SELECT DISTINCT node_id, 1.0::DOUBLE, 0 FROM impact_nodes UNION SELECT e.dst, least(r.c, e.c), r.d + 1 FROM r JOIN e ON e.src = r.node WHERE r.d < 3)
+SELECT node, round(max(c), 3) AS confidence, CASE WHEN max(c) >= 0.9 THEN 'must' ELSE 'likely' END AS kind FROM r GROUP BY 1""")
+def graph_impact_references(spark, d):
+    """Reverse reach from all known nodes over references, a path worth its weakest link; must from 0.9."""
+    worth = F.when(F.col("confidence") == "explicit", 1.0).when(F.col("confidence") == "inferred", 0.6).otherwise(0.3)
+    l = table(spark, d, "impact_links").select(reference("target").alias("src"), reference("source").alias("dst"), worth.alias("confidence")).dropna(subset=["src", "dst"])
+    hit = graphs.strongest_paths(l, table(spark, d, "impact_nodes").select(F.col("node_id").alias("node")), 3)
+    return hit.select("node", F.round("confidence", 3).alias("confidence"), F.when(F.col("confidence") >= 0.9, "must").otherwise("likely").alias("kind"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS no FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS s FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT *, regexp_matches(line, '^\\s{0,3}(```|~~~)') AS x FROM l), o AS (SELECT * FROM (SELECT *, sum(x::INT) OVER (PARTITION BY doc_id ORDER BY no) AS k FROM f) WHERE NOT x AND k % 2 = 0),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN trim(regexp_replace(line, '^#{1,6}\\s+', '')) END AS t FROM o), c AS (SELECT doc_id, t, last_value(t IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no) AS heading FROM h)
+SELECT doc_id, heading, count(*) AS n FROM c WHERE heading IS NOT NULL AND t IS NULL GROUP BY 1, 2""")
+def text_headings_outside_code(spark, d):
+    """How many lines stand under each heading of each document, code fences aside."""
+    from ledgerloom.sources import text as lines_of
+
+    lines = lines_of.numbered_lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    h = lines_of.headings(lines_of.outside_code(lines, "doc_id"), "doc_id").where("heading is not null and not is_heading")
+    return h.groupBy("doc_id", "heading").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT user_id::VARCHAR AS state_key, seq, value::VARCHAR AS val FROM ({_FOLD.format('true')})")
+def stream_state(spark, d):
+    """Current state under the stream of events: micro-batches upserted in two runs, one of them twice."""
+    from ledgerloom.streaming.ledger import LedgerState
+
+    e = table(spark, d, "events")
+    changes = e.select(F.col("user_id").cast("string").alias("state_key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("dead"), F.col("value").cast("string").alias("val"))
+    state = LedgerState(spark, ["state_key"])
+    late = F.col("seq") % 2 == 0
+    for name, part in (("b", changes.where(late)), ("a", changes.where(~late)), ("b", changes.where(late))):
+        state.apply(part, name)
+    return state.current().select("state_key", "seq", "val")
+
+
+@query()
+def stream_sessions(spark, d):
+    """Sessions of users through a file stream; the watermark leaves the last ones open."""
+    from ledgerloom.streaming import ledger as streams
+
+    s = streams.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.run_once(streams.sessions(s, "ts", "12 hours", "1 day", ["user_id"]), "sessions")
+
+
+_PRIORITIES = "SELECT o_custkey AS owner, list_sort(list(DISTINCT o_orderpriority || '/' || o_orderstatus)) AS s FROM orders GROUP BY 1"
+
+
+@query(f"SELECT owner, min(owner) OVER (PARTITION BY s) AS stands FROM ({_PRIORITIES})")
+def set_jaccard_members(spark, d):
+    """Every customer and the one that stands for its set in set_jaccard."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.concat("o_orderpriority", F.lit("/"), "o_orderstatus").alias("element"))
+    return sets.class_members(o)
+
+
+@query("SELECT 'never' AS kind, count(*) AS n FROM lint_entries WHERE severity = 'error' AND line < 10 UNION ALL SELECT 'excess', count(*) FROM (SELECT DISTINCT code FROM lint_entries WHERE code IS NOT NULL AND code NOT IN (SELECT code FROM lint_entries WHERE code IS NOT NULL AND param IS NULL AND line < 5))")
+def invariant_kinds(spark, d):
+    """Errors in the first lines, a requirement that holds, and codes that the first lines never have without a parameter."""
+    from ledgerloom.sources.documents import invariant
+
+    l = table(spark, d, "lint_entries").select("path", "line", "code", "severity", "param")
+    found = invariant(l, "never", (F.col("severity") == "error") & (F.col("line") < 10)).unionByName(invariant(l, "require", F.col("line") > 0))
+    found = found.unionByName(invariant(l, "cover", F.col("param").isNull() & (F.col("line") < 5), "code", l))
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT delivery_id, sequence, run_id, payload_json AS record FROM event_envelopes")
+def wire_round_trip(spark, d):
+    """Every delivery as a wire message and back."""
+    from ledgerloom.sources.wire import from_wire, to_wire
+
+    e = table(spark, d, "event_envelopes").select("delivery_id", "sequence", "run_id", F.col("payload_json").alias("record"))
+    return from_wire(to_wire(e, "delivery_id", "event"), "delivery_id", "event")
+
+
+@query()
+def text_front_matter_nested(spark, d):
+    """Front matter of documents as canonical JSON, with its lists and maps."""
+    from ledgerloom.sources.documents import front_matter_json
+
+    m = table(spark, d, "documents").select("doc_id", front_matter_json("text").alias("front_matter"))
+    return m.where("front_matter is not null")
+
+
 # Graphs
 
 @query(f"WITH RECURSIVE e AS ({_LINKS}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT DISTINCT a AS node FROM r WHERE a = b")

@@ -72,9 +72,6 @@ ORACLES: dict[str, str] = {
     "ledger_fold": "SELECT user_id, seq, value FROM (SELECT user_id, max(event_id) AS seq, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS op FROM events WHERE event_type <> 'view' GROUP BY 1) WHERE op <> 'error'",
     "ledger_parity": "SELECT user_id, event_id AS seq, value, 'a' AS side FROM events WHERE false",
     "graph_reach": f"WITH RECURSIVE e AS ({_GEO}), r(node, depth) AS (SELECT x, 0 FROM (VALUES ('r0'), ('r3')) v(x) UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2) SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY 1",
-    "graph_impact": """WITH RECURSIVE e AS (SELECT target AS src, source AS dst, CASE confidence WHEN 'explicit' THEN 1.0::DOUBLE WHEN 'inferred' THEN 0.6 ELSE 0.3 END AS c FROM impact_links WHERE source IS NOT NULL AND target IS NOT NULL),
-        r(node, c, k) AS (SELECT DISTINCT src, 1.0::DOUBLE, 0 FROM e WHERE src LIKE 's%' UNION SELECT dst, least(r.c, e.c), k + 1 FROM r JOIN e ON src = node WHERE k < 3)
-        SELECT node, round(max(c), 3) AS confidence, CASE WHEN max(c) >= 0.9 THEN 'must' ELSE 'likely' END AS kind FROM r GROUP BY 1""",
     "graph_wl": f"""WITH g AS ({_GEO}), e AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), l0 AS (SELECT DISTINCT src AS node, sha256(substr(src, 1, 1)) AS l FROM e),
         l1 AS (SELECT a.node, sha256(a.l || '#' || (SELECT string_agg(b.l, ',' ORDER BY b.l) FROM e JOIN l0 b ON b.node = e.dst WHERE e.src = a.node)) AS l FROM l0 a),
         l2 AS (SELECT a.node, sha256(a.l || '#' || (SELECT string_agg(b.l, ',' ORDER BY b.l) FROM e JOIN l1 b ON b.node = e.dst WHERE e.src = a.node)) AS l FROM l1 a)
@@ -99,8 +96,6 @@ ORACLES: dict[str, str] = {
     "text_front_matter": """WITH l AS (SELECT doc_id, unnest(string_split(split_part(replace(text, chr(13), '')[5:], chr(10) || '---', 1), chr(10))) AS line FROM documents WHERE starts_with(replace(text, chr(13), ''), '---' || chr(10)))
         SELECT doc_id, regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_.-]*)\\s*:', 1) AS field, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM l WHERE regexp_matches(line, '^[A-Za-z_][A-Za-z0-9_.-]*\\s*:')""",
     "doc_contains": "SELECT doc_id FROM documents WHERE contains(lower(text), 'decision surface')",
-    "evidence_coverage": "WITH n AS (SELECT DISTINCT node_id AS target, node_type FROM impact_nodes), l AS (SELECT trim(target) AS target, count(*) AS links FROM impact_links WHERE trim(target) <> '' GROUP BY 1) SELECT CASE WHEN node_type IS NULL THEN 'unknown' WHEN links IS NULL THEN 'dead' ELSE 'mapped' END AS state, node_type, count(*) AS n, sum(coalesce(links, 0))::BIGINT AS links FROM n FULL JOIN l USING (target) GROUP BY 1, 2",
-    "link_dedupe": "SELECT source_kind, trim(source) AS source, trim(target) AS target, min(CASE confidence WHEN 'explicit' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END)::BIGINT AS confidence_rank FROM impact_links WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY 1, 2, 3",
     "taint_ladder": _MARKERS,
     "taint_summary": f"WITH m AS ({_MARKERS}) SELECT 'total' AS metric, '' AS key, count(*) AS n FROM m UNION ALL SELECT 'status', status, count(*) FROM m GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM m GROUP BY 2",
     "taint_lifecycle": "SELECT event_type AS profile, CASE WHEN bool_or(g) THEN 'demote' WHEN bool_and(r) THEN 'promote' ELSE 'hold' END AS decision FROM (SELECT event_type, avg(value) > 30 AS r, max(value) > 99.99 AS g FROM events GROUP BY event_type, ts::DATE) GROUP BY 1",

@@ -43,8 +43,16 @@ def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), F.posexplode(F.split(F.col(text), "\r?\n")).alias("line_no", "line"))
 
 
+def outside_code(lines: DataFrame, key: str) -> DataFrame:
+    """Lines that no fence of ``` or ~~~ holds, the fences themselves left out; an open fence holds all that follows."""
+    fence = F.col("line").rlike(r"^\s{0,3}(```|~~~)")
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("_n", F.sum(fence.cast("int")).over(w)).where(~fence & (F.col("_n") % 2 == 0)).drop("_n")
+
+
 def headings(lines: DataFrame, key: str) -> DataFrame:
-    """Lines with level and heading of the section they stand in (null before the first); fences aren't told apart."""
+    """Lines with level and heading of the section they stand in (null before the first); for Markdown with code, of
+    outside_code's lines."""
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))
     title = F.when(level > 0, F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
