@@ -115,3 +115,19 @@ def link_sources(explicit: DataFrame, inferred: DataFrame, weak: DataFrame, keys
     rows = reduce(DataFrame.unionByName, every).dropna(subset=["target"]).distinct()
     best = rows.groupBy(*keys).agg(F.min("_r").alias("_r"))
     return rows.join(best, [*keys, "_r"], "left_semi").drop("_r")
+
+
+def opaque(refs: DataFrame) -> DataFrame:
+    """One row, refs and opaque: how many references there are, and how many without a readable key (null or blank)."""
+    return refs.agg(F.count("*").alias("refs"), F.count_if(F.col("key").isNull() | (F.trim("key") == "")).alias("opaque"))
+
+
+def decision_table(surfaces: DataFrame) -> DataFrame:
+    """fn, position, param, evidence of decision surfaces (fn, params array), a row per parameter in its order."""
+    each = surfaces.select("fn", F.posexplode("params").alias("position", "param"))
+    return each.withColumn("evidence", F.concat(F.lit("E:decision_surface::"), F.concat_ws("::", "fn", "param")))
+
+
+def marker_rows(**sources: DataFrame) -> DataFrame:
+    """source, subject, kind: rows of several analyses (subject, kind) as taint markers, each once."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("source"), "subject", "kind") for n, df in sources.items()]).distinct()

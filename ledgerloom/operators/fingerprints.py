@@ -106,3 +106,33 @@ def sound(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row, sound: multisets (key, exponent) whose masks are disjoint share no factor, and those that share one aren't."""
     g = algebra(a, b).agg(F.coalesce(F.max("gcd"), F.lit(0)).alias("g"), F.count_if(F.col("lcm") > F.col("symdiff")).alias("common"))
     return g.select(((F.col("g") == 0) == (F.col("common") == 0)).alias("sound"))
+
+
+def registry_by_first_seen(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """key, bit: distinct keys numbered from 0 in the order in which they are first seen (then by name)."""
+    first = rows.select(F.col(key).alias("key"), F.col(seq).alias("seq")).dropna(subset=["key"]).groupBy("key").agg(F.min("seq").alias("seq"))
+    return numbered(first, ["seq", "key"], "bit").select("key", "bit")
+
+
+def with_primes(registered: DataFrame) -> DataFrame:
+    """registry rows (key, bit) with the prime of each; registered names are schema, and so are as many primes."""
+    n = registered.agg(F.coalesce(F.max("bit") + 1, F.lit(0)).alias("n")).first()["n"]  # one number
+    table = registered.sparkSession.createDataFrame(list(enumerate(primes(int(n)))), "bit bigint, prime bigint")
+    return registered.join(table, "bit").select("key", "bit", "prime")
+
+
+def save_registry(registered: DataFrame, root: str) -> str:
+    """Makes a registry the current version below root in one step."""
+    from ledgerloom.session import publish
+
+    return publish(registered, root)
+
+
+def identity_layers(items: DataFrame) -> DataFrame:
+    """owner, canonical (keys with exponents in order), digest: a fingerprint's readable and its short identity.
+
+    Owners are bundles of parameters; the text of one is as long as its distinct keys.
+    """
+    e = exponents(items).select("owner", F.struct(F.col("key").cast("string").alias("k"), "exponent").alias("p"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.concat(p["k"], F.lit("^"), p["exponent"].cast("string"))), "*")
+    return e.groupBy("owner").agg(text.alias("canonical")).withColumn("digest", F.concat(F.lit("fp:"), F.substring(F.sha2("canonical", 256), 1, 16)))

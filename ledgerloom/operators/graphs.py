@@ -45,7 +45,13 @@ def graph_signature(edges: DataFrame, kinds: DataFrame) -> tuple[DataFrame, Data
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """node, depth: nodes within max_depth links of the seeds (node), each at its least depth."""
     seen = stored(seeds.select("node", F.lit(0).alias("depth")).dropna().distinct(), "seen")
-    front, e = seen, stored(edges.select("src", "dst").dropna().distinct(), "edges")
+    e, size = stored_with(edges.select("src", "dst").dropna().distinct(), "edges", n=F.count(F.lit(1)))
+    if size["n"] <= LOCAL_EDGES:
+        starts = seen.select(F.col("node").alias("dst")).join(e.select(F.col("src").alias("dst")), "dst", "left_semi")
+        few = _in_one_task(e.unionByName(starts.select(F.lit(None).cast(e.schema["src"].dataType).alias("src"), "dst")), lambda rows: _walked(rows, max_depth), "level")
+        few = few.join(seen.select("node"), "node", "left_anti").select("node", F.col("level").cast("int").alias("depth"))
+        return seen.unionByName(few)
+    front = seen
     for d in range(1, max_depth + 1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front, n = stored_with(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth")), "front", n=F.count(F.lit(1)))
@@ -102,6 +108,23 @@ def _joined(rows: list[tuple]) -> dict:
     return {n: top(n) for n in list(up)}
 
 
+def _walked(rows: list[tuple], max_depth: int) -> dict:
+    """Least number of links to each node from the seeds, which are the ends of rows without a source."""
+    down: dict = {}
+    for a, b in rows:
+        if a is not None:
+            down.setdefault(a, []).append(b)
+    depth = {b: 0 for a, b in rows if a is None}
+    todo = list(depth)
+    for n in todo:  # grows while it is read
+        if depth[n] < max_depth:
+            for x in down.get(n, ()):
+                if x not in depth:
+                    depth[x] = depth[n] + 1
+                    todo.append(x)
+    return depth
+
+
 def _peeled(rows: list[tuple]) -> dict:
     """Longest chain into each node, None on and below cycles."""
     down: dict = {}
@@ -404,3 +427,14 @@ def suite_order(suites: DataFrame, contains: DataFrame) -> DataFrame:
     depth = levels(contains, s.select(F.col("suite").alias("node"))).withColumnRenamed("node", "suite")
     pad = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
     return s.join(depth, "suite").select("suite", F.col("level").alias("depth"), F.concat_ws("|", "path", F.lpad(F.coalesce("level", F.lit(0)).cast("string"), 10, "0"), pad("line"), pad("col"), pad("end_line"), pad("end_col"), "qual").alias("order_key"))
+
+
+def trusted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node: the roots (node) and all that their edges lead to, to the fixpoint."""
+    return reach(edges, roots, 1 << 30).select("node")
+
+
+def blockers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node) and distinct edges (src blocks dst) of rows (node, blockers array); blank blockers are none."""
+    e = rows.select(F.explode("blockers").alias("src"), F.col("node").alias("dst")).where("trim(src) <> ''").dropna().distinct()
+    return rows.select("node").dropna().union(e.select("src")).distinct(), e

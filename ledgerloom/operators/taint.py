@@ -42,3 +42,8 @@ def lifecycle(gates: DataFrame) -> DataFrame:
     """profile, decision from gate rows (profile, gate, ready, regressed): demote on a regression, promote if all ready."""
     g = gates.groupBy("profile").agg(F.bool_and(F.coalesce("ready", F.lit(False))).alias("ready"), F.bool_or(F.coalesce("regressed", F.lit(False))).alias("regressed"))
     return g.select("profile", F.when(F.col("regressed"), "demote").when(F.col("ready"), "promote").otherwise("hold").alias("decision"))
+
+
+def incidents(records: DataFrame, profile: str = "profile") -> DataFrame:
+    """profile, status, n of the statuses that speak against a profile: all but resolved ones."""
+    return records.where("status <> 'resolved'").groupBy(profile, "status").agg(F.count("*").alias("n"))

@@ -76,3 +76,20 @@ def appended(existing: DataFrame, new: DataFrame, order: list[str], seq: str = "
 
     last = existing.agg(F.coalesce(F.max(seq), F.lit(0)).alias("m")).first()["m"]  # one number
     return numbered(new, order, "_n").withColumn(seq, (F.col("_n") + 1 + last).cast("bigint")).drop("_n")
+
+
+def rollup(rows: DataFrame, levels: list[str], value: str) -> DataFrame:
+    """levels, level, n, total: sums of a profile by each prefix of levels, the whole included."""
+    g = rows.rollup(*levels).agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n"), F.sum(value).alias("total"))
+    return g.select(*levels, "level", "n", "total")
+
+
+def witnesses(rows: DataFrame) -> DataFrame:
+    """representative, surfaces, witnesses, first_witness of rows (representative, surface, witness)."""
+    return rows.groupBy("representative").agg(F.count_distinct("surface").alias("surfaces"), F.count_distinct("witness").alias("witnesses"), F.min("witness").alias("first_witness"))
+
+
+def plan_order(plans: DataFrame, kinds: list[str]) -> DataFrame:
+    """plans (kind, plan_id) with kind_rank, ordered by it and the id; kinds that aren't listed come last."""
+    rank = F.coalesce(F.create_map(*(F.lit(x) for i, k in enumerate(kinds) for x in (k, i)))[F.col("kind")], F.lit(len(kinds)))
+    return plans.withColumn("kind_rank", rank).orderBy("kind_rank", "plan_id")

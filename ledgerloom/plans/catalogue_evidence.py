@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import keys, scalars
+from ledgerloom.functions import keys
 from ledgerloom.functions.text import reference
-from ledgerloom.operators import deltas, evidence, fingerprints, graphs, ledger, program, resolution, series, sets, traces
-from ledgerloom.plans.catalogue_sql import _BLANK, _GEO, _LINKS, _REF
+from ledgerloom.operators import deltas, evidence, fingerprints, graphs, ledger, program, resolution, sets, traces
+from ledgerloom.plans.catalogue_sql import _GEO, _LINKS, _MARKERS, _REF
 from ledgerloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,6 +642,105 @@ def program_drift(spark, d):
     return program.drift(of("o_orderstatus = 'F'"), of("o_orderstatus <> 'F'"), w)
 
 
+# Guards, registries, rollups
+
+@query("""SELECT * FROM (VALUES ('f', 1, 'VIOLATION'), ('g', 2, 'PROVEN_UNREACHABLE'), ('h', 3, 'OBLIGATION'), ('k', 4, 'OBLIGATION')) v(fn, site, status)""")
+def guard_never_invariants(spark, d):
+    """Never-marks under the constants of their calls; one guard asks a call, one function is never called."""
+    from ledgerloom.operators import guards
+
+    marks = spark.createDataFrame([("f", 1, "flag and not other"), ("g", 2, "n > 3 or flag"), ("h", 3, "flag and ready()"), ("k", 4, "x == 1")], "fn string, site int, guard string")
+    calls = [("f", {"flag": True, "other": False}), ("f", {"flag": False}), ("g", {"n": 2, "flag": False}), ("h", {"flag": True})]
+    import json
+
+    return guards.never_invariants(marks, spark.createDataFrame([(f, json.dumps(e)) for f, e in calls], "fn string, env string"))
+
+
+@query("""SELECT o_orderpriority AS fn, CAST(o_orderkey AS BIGINT) AS site, CASE WHEN o_totalprice > 100000 AND o_orderstatus <> 'F' THEN 'VIOLATION' ELSE 'PROVEN_UNREACHABLE' END AS status FROM orders""")
+def guard_orders(spark, d):
+    """A guard of its own for every order, under the one constant that its priority passes."""
+    from ledgerloom.operators import guards
+
+    o = table(spark, d, "orders")
+    guard = F.concat(F.col("o_totalprice").cast("string"), F.lit(" > limit and '"), "o_orderstatus", F.lit("' != 'F'"))
+    calls = o.select(F.col("o_orderpriority").alias("fn"), F.lit('{"limit": 100000}').alias("env")).distinct()
+    return guards.never_invariants(o.select(F.col("o_orderpriority").alias("fn"), F.col("o_orderkey").alias("site"), guard.alias("guard")), calls)
+
+
+@query("""SELECT * FROM (VALUES ('f', 1, 'DEAD'), ('g', 2, 'FORBIDDEN'), ('h', 3, 'UNKNOWN')) v(fn, site, status)""")
+def guard_exceptions(spark, d):
+    from ledgerloom.operators import guards
+
+    raises = spark.createDataFrame([("f", 1, "not ok", False), ("g", 2, "ok", False), ("h", 3, "len(x) > 1", False), ("h", 4, "ok", True)], "fn string, site int, guard string, never boolean")
+    return guards.exception_obligations(raises, spark.createDataFrame([("f", '{"ok": true}'), ("g", '{"ok": true}'), ("h", "{}")], "fn string, env string"))
+
+
+@query("SELECT p_type AS key, row_number() OVER (ORDER BY min(p_partkey), p_type) - 1 AS bit, [2, 3, 5, 7, 11, 13, 17, 19, 23, 29][row_number() OVER (ORDER BY min(p_partkey), p_type)]::BIGINT AS prime FROM part GROUP BY 1")
+def fp_registry(spark, d):
+    """Part types numbered as they are first seen, each with its prime."""
+    return fingerprints.with_primes(fingerprints.registry_by_first_seen(table(spark, d, "part"), "p_type", "p_partkey"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS owner, l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT owner, string_agg(k || '^' || n, '*' ORDER BY k) AS canonical FROM e GROUP BY 1)
+SELECT owner, canonical, 'fp:' || substr(sha256(canonical), 1, 16) AS digest FROM c""")
+def fp_identity_layers(spark, d):
+    return fingerprints.identity_layers(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.concat("l_returnflag", "l_linestatus").alias("key")))
+
+
+@query("SELECT path, code, grouping(path, code)::BIGINT AS level, count(*) AS n, sum(line)::BIGINT AS total FROM lint_entries GROUP BY ROLLUP (path, code)")
+def trace_rollup(spark, d):
+    """Lines summed by path and code, by path, and in all."""
+    return traces.rollup(table(spark, d, "lint_entries").select("path", "code", "line"), ["path", "code"], "line")
+
+
+@query(f"SELECT evidence AS representative, count(DISTINCT confidence) AS surfaces, count(DISTINCT test) AS witnesses, min(test) AS first_witness FROM ({_TESTS}) GROUP BY 1")
+def trace_witnesses(spark, d):
+    return traces.witnesses(_tests(spark, d).select(F.col("evidence").alias("representative"), F.col("confidence").alias("surface"), F.col("test").alias("witness")))
+
+
+@query("SELECT p_type AS kind, p_partkey AS plan_id, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 ELSE 2 END::INTEGER AS kind_rank FROM part")
+def trace_plan_order(spark, d):
+    return traces.plan_order(table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("plan_id")), ["ECONOMY", "LARGE"])
+
+
+@query("SELECT count(*) AS refs, count(*) FILTER (target IS NULL OR trim(target) = '') AS opaque FROM impact_links")
+def evidence_opaque(spark, d):
+    return evidence.opaque(table(spark, d, "impact_links").select(F.col("target").alias("key")))
+
+
+@query("SELECT row_id AS fn, (i - 1)::INTEGER AS position, x[i] AS param, concat_ws('::', 'E:decision_surface', row_id::VARCHAR, x[i]) AS evidence FROM (SELECT row_id, doc_requires AS x, unnest(generate_series(1, len(doc_requires))) AS i FROM doc_frontmatter)")
+def evidence_decision_table(spark, d):
+    return evidence.decision_table(table(spark, d, "doc_frontmatter").select(F.col("row_id").alias("fn"), F.col("doc_requires").alias("params")))
+
+
+@query("SELECT DISTINCT 'lint' AS source, path AS subject, code AS kind FROM lint_entries UNION SELECT 'advice', scope_id, advisory FROM advisory_metrics")
+def evidence_markers(spark, d):
+    l, a = table(spark, d, "lint_entries"), table(spark, d, "advisory_metrics")
+    return evidence.marker_rows(lint=l.select(F.col("path").alias("subject"), F.col("code").alias("kind")), advice=a.select(F.col("scope_id").alias("subject"), F.col("advisory").alias("kind")))
+
+
+@query(f"WITH RECURSIVE e AS ({_LINKS}), r(n) AS (SELECT DISTINCT src FROM e WHERE contains(src, '#policy') UNION SELECT e.dst FROM r JOIN e ON e.src = r.n) SELECT n AS node FROM r")
+def graph_trusted(spark, d):
+    """Sections on policies and all that lies below them."""
+    from ledgerloom.operators.hierarchy import link_edges
+
+    l = link_edges(table(spark, d, "impact_links")).dropna().select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    return graphs.trusted(l, l.where("src like '%#policy%'").select(F.col("src").alias("node")))
+
+
+@query("SELECT DISTINCT x AS src, row_id::VARCHAR AS dst FROM (SELECT row_id, unnest(doc_requires) AS x FROM doc_frontmatter) WHERE trim(x) <> ''")
+def graph_blockers(spark, d):
+    return graphs.blockers(table(spark, d, "doc_frontmatter").select(F.col("row_id").cast("string").alias("node"), F.col("doc_requires").alias("blockers")))[1]
+
+
+@query(f"WITH m AS ({_MARKERS}) SELECT profile, status, count(*) AS n FROM m WHERE status <> 'resolved' GROUP BY 1, 2")
+def taint_incidents(spark, d):
+    from ledgerloom.operators import taint
+    from ledgerloom.plans.catalogue import _markers
+
+    return taint.incidents(_markers(spark, d))
+
+
 #: A small program whose facts are plain to read.
 SAMPLE = {
     "app/core.py": """

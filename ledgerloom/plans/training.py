@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_items(table(spark, d, "aspf_artifacts"), table(spark, d, "event_envelopes"))
 
 
+def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each node type's table has, and how many of them under each type of parent."""
+    nodes = nested.label_nodes(table(spark, d, "aspf_artifacts"), "record_id", "artifact_json", nested.ARTIFACT_TYPES)
+    tables = nested.node_tables(nodes, nested.ARTIFACT_TYPES)
+    counts = [t.groupBy("parent_type").agg(F.count("*").alias("n")).select(F.lit(n).alias("node_type"), "parent_type", "n") for n, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.replay(table(spark, d, "event_envelopes"), table(spark, d, "snapshot_envelopes"), table(spark, d, "commit_markers"))
 

@@ -111,3 +111,15 @@ def test_first_rows_of_a_hot_group(spark):
     for r in df.collect():
         want.setdefault(r.k, []).append(r.v)
     assert got == {(k, v) for k, vs in want.items() for v in sorted(vs)[-2:]}
+
+
+@pytest.mark.parametrize(("guard", "env", "want"), [
+    ("a and b", {"a": False}, False), ("a and b", {"a": True}, None), ("a or b", {"a": True}, True), ("a or b", {"a": False}, None), ("not a", {"a": 0}, True), ("-x < -1", {"x": 2}, True),
+    ("1 < x <= 3", {"x": 3}, True), ("1 < x < y", {"x": 0}, False), ("1 < x < y", {"x": 2}, None), ("x == 'a'", {"x": "a"}, True), ("x < 'a'", {"x": 1}, None), ("f(x)", {"x": 1}, None),
+    ("b'x'", {}, None), ("x.y", {"x": 1}, None), ("x in (1, 2)", {"x": 1}, None), ("broken (", {}, None), ("None", {}, False), ("x", {"x": None}, False),
+])
+def test_guards_in_three_values(guard, env, want):
+    from ledgerloom.operators import guards
+
+    assert guards.holds(guard, json.dumps(env)) is want
+    assert guards.holds(None, None) is None

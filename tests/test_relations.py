@@ -286,6 +286,14 @@ def test_rounds_and_one_task_agree(spark, monkeypatch, few):
         return level[n]
 
     assert {r.node: r.level for r in graphs.levels(e, nodes).collect()} == {n: None if n in bad else depth(n) for n in every}
+    seeds = ["c00", "n03", "alone"]
+    dist, todo = {x: 0 for x in seeds}, list(seeds)
+    for n in todo:
+        for x in sorted(down.get(n, ())):
+            if x not in dist and dist[n] < 4:
+                dist[x] = dist[n] + 1
+                todo.append(x)
+    assert {r.node: r.depth for r in graphs.reach(e, spark.createDataFrame([(x,) for x in [*seeds, "n03"]], "node string"), 4).collect()} == dist
     near = {n: {n} for n in every}
     for _ in every:
         for a, b in pairs:
