@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import stored
+from ledgerloom.session import join_measured, stored
 
 
 def signatures(members: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def set_classes(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bo
 
 def _side(df: DataFrame, classes: DataFrame, as_: str) -> DataFrame:
     """element, and set id, size and mask of its class under the names as_, n + as_, m + as_."""
-    return df.select("set_id", "element", "bit").join(classes, "set_id").select("element", "bit", F.col("set_id").alias(as_), F.col("n").alias(f"n{as_}"), F.col("mask").alias(f"m{as_}"))
+    return df.select("set_id", "element").join(classes, "set_id").select("element", F.col("set_id").alias(as_), F.col("n").alias(f"n{as_}"), F.col("mask").alias(f"m{as_}"))
 
 
 def _common(cand: DataFrame, elements: DataFrame, exact: bool) -> DataFrame:
@@ -59,8 +59,9 @@ def _common(cand: DataFrame, elements: DataFrame, exact: bool) -> DataFrame:
 
 def containing(elements: DataFrame, classes: DataFrame, exact: bool) -> DataFrame:
     """a, b, nb: classes b that properly contain class a; candidates share a's rarest element."""
-    x, y = _side(elements.where("rank = 1"), classes, "a").drop("bit"), _side(elements, classes, "b").drop("bit")
-    cand = x.join(y, "element").where("nb > na and (ma & ~mb) = 0").drop("element")
+    x, y = _side(elements.where("rank = 1"), classes, "a"), _side(elements, classes, "b")
+    n = 4 * int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = join_measured(y.repartition(n, "b"), x, "element").where("nb > na and (ma & ~mb) = 0").drop("element")
     return _common(cand, elements, exact).where("k = na").select("a", "b", "nb")
 
 
@@ -79,18 +80,28 @@ def likeness_join(members: DataFrame, least: float) -> DataFrame:
     """
     owners, elements, classes, exact = set_classes(members)
     stands = owners.groupBy("set_id").agg(F.min("owner").alias("owner"))
-    prefix = elements.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    x, y = _side(prefix, classes, "a"), _side(prefix, classes, "b").drop("bit")
+    reps = stored(classes.join(stands, "set_id"), "reps")
+    prefix = elements.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("set_id", "element", "rank", "bit").join(reps, "set_id")
+    side = lambda x, *more: prefix.select("element", "rank", *more, F.col("owner").alias(x), F.col("n").alias(f"n{x}"), F.col("mask").alias(f"m{x}"))
     #: No more elements in common than either set has under the other's bits.
     most = F.least(F.expr("na - bit_count(ma & ~mb)"), F.expr("nb - bit_count(mb & ~ma)"))
     near = (F.col("a") < F.col("b")) & (F.col("nb") >= least * F.col("na") - 1e-9) & (F.col("na") >= least * F.col("nb") - 1e-9)
     if exact:  # each pair once, by its rarest common element: no higher bit is common
         near = near & F.expr("shiftrightunsigned(shiftrightunsigned(ma & mb, bit), 1) = 0")
-    cand = x.join(y, "element").where(near & (most >= least * (F.col("na") + F.col("nb") - most) - 1e-9)).drop("element", "bit")
-    cand = cand if exact else cand.distinct()
-    j = _common(cand, elements, exact).withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("jaccard") >= least - 1e-12)
-    named = j.join(stands.toDF("a", "oa"), "a").join(stands.toDF("b", "ob"), "b")
-    return named.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "jaccard")
+    near = near & (most >= least * (F.col("na") + F.col("nb") - most) - 1e-9)
+    #: The rarest common element and those after it in either order are all that can be common. Sets are spread over
+    #: tasks once more, as their pairs are many more than they are.
+    after = 1 + F.least(F.col("na") - F.col("rank"), F.col("nb") - F.col("rank_b"))
+    ahead = after >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
+    n = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = side("a", "bit").repartition(n, "a")
+    cand = join_measured(x, side("b").withColumnRenamed("rank", "rank_b"), "element").where((ahead & near) if exact else near).drop("element", "bit", "rank", "rank_b")
+    if exact:
+        common = cand.withColumn("k", F.bit_count(F.col("ma").bitwiseAND(F.col("mb"))).cast("bigint"))
+    else:
+        named = elements.join(stands, "set_id").select(F.col("owner").alias("o"), "element")
+        common = cand.distinct().join(named.toDF("a", "element"), "a").join(named.toDF("b", "element"), ["b", "element"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    return common.withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("jaccard") >= least - 1e-12).select("a", "b", "jaccard")
 
 
 def class_members(members: DataFrame) -> DataFrame:

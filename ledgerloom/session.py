@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -88,8 +90,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for paths in _open[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the stages that were written within: for sessions that run many queries one after another.
+
+    A query's result must be consumed inside, as it reads its stages. Indexes and states with a root of their own stay.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for p in paths:
+            _remove(spark, p)
 
 
 def stored(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -74,3 +74,16 @@ def test_typed_table_of_each_family(spark, sf_dir):
         assert wide.count() == len({(r.file_id, r.record_no) for r in long if r.family == family})
         if any(r.family == family and r.value_type == "integer" for r in long):
             assert "bigint" in {t for c, t in wide.dtypes if c not in ("file_id", "record_no")}
+
+
+def test_stages_go_with_their_scope(spark):
+    from ledgerloom.session import _hadoop, new_path, stored, working
+
+    with working(spark):
+        paths = [new_path(spark, "a")]
+        df = stored(spark.range(5), "b")
+        assert df.count() == 5
+        kept = df.inputFiles()[0].rpartition("/")[0]
+        p, fs = _hadoop(spark, kept)
+        assert fs.exists(p)
+    assert not fs.exists(p) and paths
