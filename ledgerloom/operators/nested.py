@@ -20,6 +20,7 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -80,14 +81,16 @@ def _compile(types: list[NodeType]) -> _State:
 class Labeller:
     """Depth-first traversal of one record at a time; rows of its typed nodes come in pre-order."""
 
-    def __init__(self, types: list[NodeType], all_nodes: bool = False) -> None:
-        self.types, self.root, self.all = types, _compile(types), all_nodes
+    def __init__(self, types: list[NodeType], all_nodes: bool = False, bare: bool = False) -> None:
+        self.types, self.root, self.all, self.bare = types, _compile(types), all_nodes, bare
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
 
     def rows(self, record: dict) -> list[list]:
         self.pre = self.post = 0
         self.out: list[list] = []
         self._visit(record, [(self.root, "", 0)], 0, "", 0)
+        if self.bare:
+            return self.out
         types = self.types
         keep, reach = [False] * len(self.out), []
         for i, row in enumerate(self.out):
@@ -161,16 +164,17 @@ def _kind(node) -> str:
     return {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null"}[type(node)]
 
 
-def label_nodes(df: DataFrame, record_id: str, json_col: str, types: list[NodeType], all_nodes: bool = False) -> DataFrame:
+def label_nodes(df: DataFrame, record_id: str, json_col: str, types: list[NodeType], all_nodes: bool = False, bare: bool = False) -> DataFrame:
     """One row per typed node of every readable record, with interval labels (NODE_SCHEMA).
 
     Unreadable and null records yield no rows; equal record ids are the caller's to avoid. all_nodes also emits the
-    nodes of no type, under the type ''. Other columns of df are ignored. No shuffle.
+    nodes of no type, under the type ''; bare also emits the carriers that nothing lies within. Other columns of df are
+    ignored. No shuffle.
     """
     names = [t.name for t in types] + [""]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(types, all_nodes)
+        labeller = Labeller(types, all_nodes, bare)
         schema = pa.schema([("record_id", pa.int64()), ("node_type", pa.string()), ("pre", pa.int64()), ("post", pa.int64()), ("depth", pa.int32()), ("kind", pa.string()), ("label", pa.string()), ("idx", pa.int64()), ("value", pa.string())])
         out: list[list] = []
 
@@ -260,15 +264,30 @@ def node_tables(nodes: DataFrame, types: list[NodeType]) -> dict[str, DataFrame]
     """A table per node type, with its parent's type and label: record_id, pre, post, depth, kind, label, idx, value,
     parent_type, parent_pre.
 
-    The parent is the innermost carrier type that contains the node; nodes are written once, a folder per type, so a
-    type's table reads its own rows only.
+    The parent is the innermost node of another type that contains the node, carrier or not; of several types that one
+    node has, each is within those before it in types. Nodes are written once, a folder per type, so a type's table
+    reads its own rows only.
     """
-    carriers = list(dict.fromkeys(t.name for t in types if t.carrier))
-    linked = link(nodes, carriers)
-    inner = F.lit(None).cast("struct<pre:bigint,t:string>")
-    for c in carriers:
-        own = F.when((F.col(f"in_{c}.pre") < F.col("pre")) | ((F.col(f"in_{c}.pre") == F.col("pre")) & (F.col("node_type") != c)), F.struct(F.col(f"in_{c}.pre").alias("pre"), F.lit(c).alias("t")))
-        inner = F.when(inner.isNull() | (own["pre"] >= inner["pre"]), F.coalesce(own, inner)).otherwise(inner)
-    flat = linked.select("node_type", "record_id", "pre", "post", "depth", "kind", "label", "idx", "value", inner.alias("p"))
+    names = list(dict.fromkeys(t.name for t in types))
+    linked = link(nodes, names)
+    around = []
+    for n, c in enumerate(names):
+        pre = F.col(f"in_{c}.pre")
+        within = (pre < F.col("pre")) | ((pre == F.col("pre")) & F.col("node_type").isin(names[n + 1 :]))
+        around.append(F.when(within, F.struct(pre.alias("pre"), F.lit(n).alias("n"), F.lit(c).alias("t"))))
+    flat = linked.select("node_type", "record_id", "pre", "post", "depth", "kind", "label", "idx", "value", F.array_max(F.array(*around)).alias("p"))
     kept = stored(flat.select("node_type", "record_id", "pre", "post", "depth", "kind", "label", "idx", "value", F.col("p.t").alias("parent_type"), F.col("p.pre").alias("parent_pre")), "nodes", ("node_type",))
-    return {n: kept.where(F.col("node_type") == n).drop("node_type") for n in dict.fromkeys(t.name for t in types)}
+    return {n: kept.where(F.col("node_type") == n).drop("node_type") for n in names}
+
+
+def all_tables(artifacts: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """The node tables of artifacts and of payloads, one after the other: source, node_type and node_tables' columns.
+
+    source names the input, as ids of artifacts and of deliveries are apart. Every node of a type has a row, also one
+    with nothing in it or with the value null; sites must be objects. A payload's value is its key, and null without one.
+    """
+    out = []
+    for source, df, key, text, types in (("aspf_artifacts", artifacts, "record_id", "artifact_json", ARTIFACT_TYPES), ("event_envelopes", envelopes, "delivery_id", "payload_json", PAYLOAD_TYPES)):
+        nodes = label_nodes(df, key, text, types, bare=True).where("node_type <> 'site' or kind = 'object'")
+        out += [t.select(F.lit(source).alias("source"), F.lit(n).alias("node_type"), *t.columns) for n, t in node_tables(nodes, types).items()]
+    return reduce(DataFrame.unionByName, out)

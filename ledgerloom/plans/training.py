@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +14,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of every node type's table, of artifacts and of payloads."""
+    return nested.all_tables(table(spark, d, "aspf_artifacts"), table(spark, d, "event_envelopes"))
+
+
+def p1_table_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many rows each node type's table has, and how many of them under each type of parent."""
-    nodes = nested.label_nodes(table(spark, d, "aspf_artifacts"), "record_id", "artifact_json", nested.ARTIFACT_TYPES)
-    tables = nested.node_tables(nodes, nested.ARTIFACT_TYPES)
-    counts = [t.groupBy("parent_type").agg(F.count("*").alias("n")).select(F.lit(n).alias("node_type"), "parent_type", "n") for n, t in tables.items()]
-    return reduce(DataFrame.unionByName, counts)
+    return p1_tables(spark, d).groupBy("node_type", "parent_type").agg(F.count("*").alias("n"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -83,3 +83,23 @@ def test_a_table_per_node_type_with_parents(spark):
     sides = {(r.record_id, r.pre) for r in tables["side"].collect()}
     steps = tables["step"].orderBy("idx").collect()
     assert [r.value for r in steps] == ["a", "b"] and {(r.record_id, r.parent_pre) for r in steps} == sides
+
+
+def test_tables_of_artifacts_and_payloads(spark):
+    artifacts = [(1, json.dumps({"boundary_asymmetry_scenario": {"left": {"basis_path": ["a", None]}, "right": {"basis_path": []}}})), (2, json.dumps({"cases": [{"case_id": "c"}]})), (3, "{broken")]
+    envelopes = [(1, json.dumps({"key": "k", "value": {"sites": [{"path": "p", "params": ["x", "y"]}, "s", {"path": "q", "params": None}]}})), (2, json.dumps({"value": [7, {"params": "z"}]})), (3, json.dumps({"key": "k", "value": 5})), (4, None)]
+    a, e = spark.createDataFrame([(i, t, "x", 1) for i, t in artifacts], ARTIFACT), spark.createDataFrame([(i, t, "x", -1) for i, t in envelopes], ENVELOPE)
+    got = nested.all_tables(a, e).collect()
+    node = {(r.source, r.record_id, r.pre, r.node_type): r for r in got}
+    assert len(node) == len(got)
+    place = lambda r: (r.record_id, r.node_type, r.label, r.idx, r.value)
+    parent = lambda r: None if r.parent_type is None else place(node[r.source, r.record_id, r.parent_pre, r.parent_type])
+    s, left = (1, "scenario", "boundary_asymmetry_scenario", 0, None), (1, "side", "left", 0, None)
+    one, two, three = (1, "payload", "", 0, "k"), (2, "payload", "", 0, None), (3, "payload", "", 0, "k")
+    p, z = (1, "site", "sites", 0, "p"), (2, "site", "value", 1, None)
+    want = {
+        "aspf_artifacts": {(s, None), (left, s), ((1, "side", "right", 0, None), s), ((1, "step", "basis_path", 0, "a"), left), ((1, "step", "basis_path", 1, None), left), ((2, "case", "cases", 0, "c"), None)},
+        "event_envelopes": {(one, None), (p, one), ((1, "param", "params", 0, "x"), p), ((1, "param", "params", 1, "y"), p), ((1, "site", "sites", 2, "q"), one), (two, None), (z, two), ((2, "param", "params", 0, "z"), z), (three, None)},
+    }
+    assert {source: {(place(r), parent(r)) for r in got if r.source == source} for source in want} == want
+    assert len(got) == sum(map(len, want.values()))

@@ -3,7 +3,8 @@
 import json
 from collections import Counter
 
-from ledgerloom.functions.text import read_object
+from ledgerloom.functions.text import read_object, scalar_text
+from ledgerloom.operators import nested
 from ledgerloom.plans import catalogue, training
 
 
@@ -87,3 +88,43 @@ def test_stages_go_with_their_scope(spark):
         p, fs = _hadoop(spark, kept)
         assert fs.exists(p)
     assert not fs.exists(p) and paths
+
+
+def test_p1_tables(spark, sf_dir, duck):
+    every = lambda x: [] if x is None else x if isinstance(x, list) else [x]
+    within = lambda x, k: x.get(k) if isinstance(x, dict) else None
+    text = lambda x: None if isinstance(x, (dict, list)) else scalar_text(x)
+    want = Counter()
+    for i, t in duck.execute("SELECT record_id, artifact_json FROM aspf_artifacts").fetchall():
+        record = read_object(t) or {}
+        for n, s in enumerate(every(record.get("boundary_asymmetry_scenario"))):
+            want["aspf_artifacts", i, "scenario", n, text(s), None, None] += 1
+            for side in ("left", "right"):
+                if isinstance(s, dict) and side in s:
+                    want["aspf_artifacts", i, "side", 0, text(s[side]), "scenario", n] += 1
+                    for k, x in enumerate(every(within(s[side], "basis_path"))):
+                        want["aspf_artifacts", i, "step", k, text(x.get("key") if isinstance(x, dict) else x), "side", 0] += 1
+        for n, c in enumerate(every(record.get("cases"))):
+            want["aspf_artifacts", i, "case", n, text(c.get("case_id") if isinstance(c, dict) else c), None, None] += 1
+            of = within(c, "dimensions")
+            for at, x in [(0, x) for x in of.values()] if isinstance(of, dict) else [(k, x) for k, x in enumerate(of or []) if isinstance(x, dict)]:
+                want["aspf_artifacts", i, "dimension", at, text(x), "case", n] += 1
+                if isinstance(x, dict) and "mask" in x:
+                    want["aspf_artifacts", i, "mask", 0, text(x["mask"]), "dimension", at] += 1
+    for i, t in duck.execute("SELECT delivery_id, payload_json FROM event_envelopes").fetchall():
+        record = read_object(t)
+        if record is not None:
+            want["event_envelopes", i, "payload", 0, text(record.get("key")), None, None] += 1
+            v = record.get("value")
+            for n, s in enumerate(v if isinstance(v, list) else every(within(v, "sites"))):
+                if isinstance(s, dict):
+                    want["event_envelopes", i, "site", n, text(s.get("path")), "payload", 0] += 1
+                    for k, x in enumerate(every(s.get("params"))):
+                        want["event_envelopes", i, "param", k, text(x), "site", n] += 1
+    got = training.p1_tables(spark, sf_dir).collect()
+    idx = {(r.source, r.record_id, r.node_type, r.pre): r.idx for r in got}
+    assert len(idx) == len(got)
+    assert Counter((r.source, r.record_id, r.node_type, r.idx, r.value, r.parent_type, r.parent_pre if r.parent_pre is None else idx[r.source, r.record_id, r.parent_type, r.parent_pre]) for r in got) == want
+    assert {r.node_type for r in got} == {t.name for t in nested.ARTIFACT_TYPES + nested.PAYLOAD_TYPES}
+    n = Counter((r.node_type, r.parent_type) for r in got)
+    assert {(r.node_type, r.parent_type): r.n for r in training.p1_table_counts(spark, sf_dir).collect()} == n
